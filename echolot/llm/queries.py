@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import formatdup, lookalike, survivor, termfreq
+from . import canon, formatdup, lookalike, survivor, termfreq
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -99,6 +99,38 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where("mark IS NOT NULL").select("taken_from", "term", "mark")
 
 
+# --- problem 4 -------------------------------------------------------------
+
+
+def _ucs_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, entry): every way in which an entry may be named."""
+    e = table(spark, sf_dir, "ucs_entries")
+    sub = F.col("subcategory")
+    pairs = [sub, F.col("cat_id"), *[F.concat_ws(" ", a, b) for c in ("category", "cat_short") for a, b in ((F.col(c), sub), (sub, F.col(c)))]]
+    given = F.concat(F.array(*pairs), F.coalesce("synonyms", F.array().cast("array<string>")))
+    return e.select(F.col("cat_id").alias("entry"), F.explode(given).alias("name")).where("entry IS NOT NULL")
+
+
+def _subcategory_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "accepted_tags").select("id", "field", "value")
+    return tags.where(formatdup.plain_text("field") == "ucssubcategory").withColumn("plain", canon.plain_form("value"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry that each hand-typed subcategory tag means, or NONE."""
+    tags = _subcategory_tags(spark, sf_dir).select(F.col("id").alias("tag_id"), "plain").distinct()
+    meant = canon.mapped(tags, _ucs_names(spark, sf_dir))
+    return tags.join(meant, "plain", "left").select("tag_id", F.coalesce("entry", F.lit(canon.NONE)).alias("cat_id"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry or several, with the number of tags that hold them."""
+    tags = _subcategory_tags(spark, sf_dir).select(F.col("id").alias("tag_id"), "plain").distinct()
+    meant = canon.mapped(tags, _ucs_names(spark, sf_dir)).where(F.col("entry") == canon.NONE)
+    counts = tags.groupBy("plain").agg(F.count("*").alias("tags"))
+    return counts.join(meant, "plain").select("plain", "tags", F.when(F.col("tier").isNotNull(), "several").otherwise("none").alias("reason"))
+
+
 # --- problem 6 -------------------------------------------------------------
 
 
@@ -121,6 +153,6 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_terms": p3_terms,
-    "p6_found": p6_found, "p6_collapsed": p6_collapsed,
+    "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_collapsed": p6_collapsed,
 }
 SQL: dict[str, str] = {}
