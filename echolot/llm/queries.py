@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, formatdup, lookalike, survivor, termfreq
+from . import canon, formatdup, lookalike, survivor, termfreq, vecjoin
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -131,6 +131,29 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(meant, "plain").select("plain", "tags", F.when(F.col("tier").isNotNull(), "several").otherwise("none").alias("reason"))
 
 
+# --- problem 5 -------------------------------------------------------------
+
+
+def _spectral() -> list:
+    # a row whose four features are all zero, or one of which is negative infinity after the logarithm, is unusable
+    log = [F.log(F.lit(1.0) + F.col(f"spectral_{c}")) / F.lit(10.0) for c in ("centroid", "bandwidth", "rolloff")]
+    return [*log, F.col("spectral_flatness")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of different files, each among the 5 nearest of the other, at most 0.0004 apart."""
+    segments = table(spark, sf_dir, "audio_segments")
+    found = vecjoin.nearest(segments, "id", _spectral(), 5, "file_id", max_distance=0.0004)
+    return vecjoin.mutual(found).select("id_a", "id_b")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest segments of other files for every segment whose id is divisible by 20, searched among all."""
+    segments = table(spark, sf_dir, "audio_segments")
+    found = vecjoin.nearest(segments, "id", _spectral(), 5, "file_id", queries=F.col("id") % 20 == 0)
+    return found.select("query", "neighbour", "distance", "rank")
+
+
 # --- problem 6 -------------------------------------------------------------
 
 
@@ -152,7 +175,7 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_terms": p3_terms,
-    "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_collapsed": p6_collapsed,
-}
+    f.__name__: f
+    for f in (p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours, p6_found, p6_collapsed)
+}
 SQL: dict[str, str] = {}
