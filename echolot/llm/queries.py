@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, formatdup, lookalike, survivor, termfreq, vecjoin
+from . import canon, formatdup, leakage, lookalike, survivor, termfreq, vecjoin
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -174,8 +174,28 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.collapsed(_canonical_tags(spark, sf_dir), ["file_id", "field_c", "value_c"], "id")
 
 
+# --- problem 7 -------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of a test item's passage."""
+    return _leaks(spark, sf_dir).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole, partial and edited copies: a run of 12 words, or an alignment worth at least half the item."""
+    return _leaks(spark, sf_dir).where("longest_run >= 12 OR share >= 0.5").select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours, p6_found, p6_collapsed)
-}
+    for f in (
+        p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours,
+        p6_found, p6_collapsed, p7_found, p7_scores,
+    )
+}
 SQL: dict[str, str] = {}
