@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, formatdup, leakage, lookalike, survivor, termfreq, vecjoin
+from . import canon, formatdup, leakage, lookalike, mixture, survivor, termfreq, vecjoin
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -191,11 +191,33 @@ def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("longest_run >= 12 OR share >= 0.5").select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
 
 
+# --- problem 8 -------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    levels = {"source": mixture.plain_name("source"), "lang": F.coalesce(mixture.plain_name("lang"), F.lit("und"))}
+    docs = mixture.counted(table(spark, sf_dir, "documents"), "doc_id", "text", levels)
+    targets = table(spark, sf_dir, "mix_targets").withColumn("source", mixture.plain_name("source"))
+    return mixture.mixed(docs, "doc_id", ["source", "lang"], targets), docs, targets
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the largest mixture in which every source has its share, with their number of uses."""
+    chosen, _, _ = _mixture(spark, sf_dir)
+    return chosen.select("doc_id", "source", "lang", "tokens", "times")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    chosen, docs, targets = _mixture(spark, sf_dir)
+    return mixture.shares(chosen, docs, targets, "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours,
-        p6_found, p6_collapsed, p7_found, p7_scores,
+        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares,
     )
 }
 SQL: dict[str, str] = {}
