@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, formatdup, leakage, lookalike, mixture, survivor, termfreq, vecjoin
+from . import canon, formatdup, leakage, lookalike, mixture, survivor, termfreq, topics, vecjoin
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -213,11 +213,30 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(chosen, docs, targets, "source")
 
 
+# --- problem 9 -------------------------------------------------------------
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> topics.Fitted:
+    return topics.fit(table(spark, sf_dir, "documents"), "doc_id", "text", mixture.plain_name("lang"), table(spark, sf_dir, "subject_examples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the subjects that at least two of their sentences are about."""
+    return topics.assigned(_topics(spark, sf_dir)).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean topic proportion by subject."""
+    found = topics.assigned(_topics(spark, sf_dir)).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("proportion"), 4).alias("mean_proportion"))
+    areas = table(spark, sf_dir, "subject_areas").select("subject")
+    return areas.join(found, "subject", "left").na.fill(0, ["documents", "sentences"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours,
-        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares,
+        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p9_found, p9_composition,
     )
 }
 SQL: dict[str, str] = {}
