@@ -32,6 +32,8 @@ COMMON_SHARE = 0.25
 #: Background topics at most, one per frequent language label.
 MAX_BACKGROUND = 6
 PASSES, INNER = 6, 6
+#: A term may belong to a subject from this share of the documents' subject words around it; with the second share it is no background.
+MAY_SHARE, MUST_SHARE = 0.25, 0.4
 #: Prior of subjects and background in a document's proportions; weight of the examples' words.
 ALPHA, ALPHA_BACKGROUND, SEED_WEIGHT, ETA = 0.1, 2.0, 20.0, 0.01
 #: Tokens padded into one batch of inference.
@@ -181,19 +183,66 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang: Column, examples: Dat
 
     bags = cut(tokens.mapInPandas(number, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, sentence array<int>"))
     frequency = vocabulary["docs"].to_numpy(float) / max(vocabulary["docs"].sum(), 1) if terms else np.zeros(0)
-    background = np.maximum(shares, 1e-6) if named else np.zeros((len(terms), 0))
-    eta = np.hstack([SEED_WEIGHT * seeds + ETA, np.full(background.shape, ETA)])
-    start = np.hstack([seeds + 0.05 * frequency[:, None] * len(terms) / max(len(terms), 1), background])
-    phi = (start / np.maximum(start.sum(axis=0), 1e-12)).astype(np.float32)
+    # what may belong where: by the company a term keeps over all documents
+    company, met = seeds, np.zeros(len(terms))
+    if terms and subjects:
+        company, met = _company(bags, seeds)
+        # once more with the words found, so that languages with few examples count too
+        plain = np.array([t in barred for t in terms])[:, None]
+        company, met = _company(bags, np.where((company >= MUST_SHARE) & ~plain, company, 0))
+        company = np.where(plain, 0, company)
+    lonely = (seeds > 0) & (met < 3)[:, None]
+    may = (company >= MAY_SHARE) | lonely
+    seeds = np.where(may, seeds, 0)
+    common = (company.max(axis=1, initial=0) < MUST_SHARE) & ~lonely.any(axis=1)
+    background = np.where(common[:, None], np.maximum(shares, 1e-6), 0) if named else np.zeros((len(terms), 0))
+    allowed = np.hstack([may, np.repeat(common[:, None], background.shape[1], axis=1)])
+    eta = np.hstack([SEED_WEIGHT * seeds + ETA, np.full(background.shape, ETA)]) * allowed
+    start = np.hstack([seeds + company * table.sum(axis=1, keepdims=True) * may, background]) + 1e-9
+    phi = (start / np.maximum(start.sum(axis=0), 1e-12) * allowed).astype(np.float32)
     alpha = np.array([ALPHA] * len(subjects) + [ALPHA_BACKGROUND] * background.shape[1], dtype=np.float32)
     if terms and len(alpha):
         for _ in range(passes):
             expected = _expected_counts(bags, phi, alpha)
             total = expected + eta
-            phi = (total / total.sum(axis=0)).astype(np.float32)
+            phi = (total / np.maximum(total.sum(axis=0), 1e-12)).astype(np.float32)
     return Fitted(bags, terms, phi, alpha, _top_term_subjects(phi, frequency, seeds, terms, subjects) if terms else [])
 
 
+def _company(bags: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms by subjects: mean share of each subject in the seeded words of the documents that hold the term; and the number of these documents.
+
+    Documents without a seeded word say nothing.  A term's own seeds do not count for it.
+    """
+    by_term = (seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    sent = bags.sparkSession.sparkContext.broadcast(by_term)
+    names = [f"s{k}" for k in range(seeds.shape[1])]
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = sent.value
+        total = np.zeros((len(table), table.shape[1] + 1))
+        for batch in batches:
+            for ids in batch["ids"]:
+                held = np.unique(np.asarray(ids, dtype=np.int64))
+                votes = table[held]
+                rest = votes.sum(axis=0)[None, :] - votes
+                whole = rest.sum(axis=1, keepdims=True)
+                known = whole[:, 0] > 0.5
+                total[held[known], :-1] += rest[known] / whole[known]
+                total[held[known], -1] += 1
+        used = np.flatnonzero(total[:, -1])
+        yield pd.DataFrame({"term": used.astype(np.int32), "docs": total[used, -1], **{n: total[used, k] for k, n in enumerate(names)}})
+
+    parts = bags.select("ids").mapInPandas(gather, ", ".join(["term int", "docs double", *[f"{n} double" for n in names]]))
+    summed = parts.groupBy("term").agg(F.sum("docs").alias("docs"), *[F.sum(n).alias(n) for n in names]).toPandas()  # a row per term
+    out = np.zeros(seeds.shape)
+    # terms met in few documents lean on nothing: one document's worth of doubt
+    out[summed["term"].to_numpy(int)] = summed[names].to_numpy(float) / (summed[["docs"]].to_numpy(float) + 1)
+    met = np.zeros(len(seeds))
+    met[summed["term"].to_numpy(int)] = summed["docs"].to_numpy(float)
+    return out, met
+
+
 def _expected_counts(bags: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """Expected uses of each term by each topic over all documents."""
     model = bags.sparkSession.sparkContext.broadcast((phi, alpha))
