@@ -1,24 +1,8 @@
-"""All queries of the catalog operators, with SQL that gives the same results."""
+"""All catalog queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import content, lists, similar, star, tagging  # noqa: F401  (they register their queries)
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..session import table
-
-
-def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return (
-        docs.groupBy(F.md5("text").alias("hash"))
-        .agg(F.count("*").alias("n_files"), F.max("n_chars").alias("size_bytes"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
-        .where("n_files > 1")
-        .withColumn("wasted_bytes", F.col("size_bytes") * (F.col("n_files") - 1))
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"dup_groups": dup_groups}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
