@@ -37,18 +37,18 @@ def plain_list(col: Column | str) -> Column:
 
 
 def copy_groups(rows: DataFrame, keys: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their 128-bit hash, groups) for rows that agree in all key columns.
+    """(hash and copy_id of each row, groups) for rows that agree in all key columns; rows with NULL id take no part.
 
     groups: the keys' hash, first_id (smallest id), copies (distinct ids), n_rows.  NULL
     keys agree with NULL and differ from ''.  A hash met by different keys is told apart
     by the keys' second, independent 64-bit hash, which is part of the grouping.
     """
     text = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
-    hashed = rows.withColumn("_text", text).withColumn("h", F.unhex(F.md5("_text"))).withColumn("h2", F.xxhash64("_text")).drop("_text")
+    hashed = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("copy_id"), F.unhex(F.md5(text)).alias("h"), F.xxhash64(text).alias("h2"))
     # distinct ids first (rows stored twice), combined map-side, then the groups
-    ids = hashed.groupBy("h", "h2", id_col).agg(F.count("*").alias("stored"))
-    groups = ids.groupBy("h", "h2").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"))
-    return ids.select("h", "h2", F.col(id_col).alias("copy_id")), groups
+    ids = hashed.groupBy("h", "h2", "copy_id").agg(F.count("*").alias("stored"))
+    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"))
+    return ids.select("h", "h2", "copy_id"), groups
 
 
 def collapsed(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -63,6 +63,6 @@ def copies(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     groups are aggregated first; only groups with copies meet the rows again, and AQE
     splits a group that holds a large share of them.
     """
-    ids, groups = copy_groups(rows.where(F.col(id_col).isNotNull()), keys, id_col)
+    ids, groups = copy_groups(rows, keys, id_col)
     several = groups.where("copies > 1").select("h", "h2", "first_id")
     return ids.join(several, ["h", "h2"]).where("copy_id <> first_id").select("first_id", "copy_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import canon, formatdup, leakage, lookalike, mixture, survivor, termfreq, topics, vecjoin
+from .sql import SQL  # noqa: F401
 
 # --- problem 1 -------------------------------------------------------------
 
@@ -239,4 +240,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p9_found, p9_composition,
     )
 }
-SQL: dict[str, str] = {}

@@ -81,10 +81,10 @@ class BlockTree:
         return (np.concatenate(at), np.concatenate(blocks)) if at else (np.zeros(0, int), np.zeros(0, int))
 
 
-def nearest_in_tile(q: np.ndarray, q_group: np.ndarray, x: np.ndarray, x_group: np.ndarray, x_id: np.ndarray, k: int, cap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in_tile(q: np.ndarray, q_group: np.ndarray, x: np.ndarray, x_group: np.ndarray, x_id: np.ndarray, k: int, cap: float, q_id: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, index position, distance) of the k nearest of each query by (distance, id), at most cap away.
 
-    Rows of one group (codes; -1: none) are no neighbours.
+    Rows of one group (codes; -1: none) are no neighbours, nor is a row with the query's own id (q_id).
     """
     low = np.minimum(q.min(axis=0), x.min(axis=0))
     scale = max(float((np.maximum(q.max(axis=0), x.max(axis=0)) - low).max()) / 254, 1e-300)
@@ -101,6 +101,8 @@ def nearest_in_tile(q: np.ndarray, q_group: np.ndarray, x: np.ndarray, x_group:
         square = x_norm[None, :] + (part * part).sum(axis=1)[:, None] - 2 * (part @ xf.T)
         groups = q_group[start : start + STRIP_ROWS]
         square[(groups[:, None] == x_group[None, :]) & (groups[:, None] >= 0)] = np.inf
+        if q_id is not None and (groups < 0).any():
+            square[q_id[start : start + STRIP_ROWS][:, None] == x_id[None, :]] = np.inf
         most = np.full(len(part), min(limit * limit, 3e38), dtype=np.float32)
         if len(x) > k:
             kth = np.partition(square, k - 1, axis=1)[:, k - 1]
@@ -164,7 +166,7 @@ def _tiled(queries: DataFrame, index: DataFrame, dims: int, k: int, cap: float)
         x, ids = tile[xs].to_numpy(float), tile["id"].to_numpy()
         if asks.all() or not asks.any():
             return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        a, b, d = nearest_in_tile(x[asks], codes[asks], x[~asks], codes[~asks], ids[~asks], k, cap)
+        a, b, d = nearest_in_tile(x[asks], codes[asks], x[~asks], codes[~asks], ids[~asks], k, cap, ids[asks])
         return pd.DataFrame({"query": ids[asks][a], "neighbour": ids[~asks][b], "distance": d})
 
     return both.groupBy("block", "q", "x").applyInPandas(multiply, "query long, neighbour long, distance double")
@@ -181,7 +183,7 @@ def nearest(df: DataFrame, id_col: str, vector: list[Column], k: int, group_col:
     empty table gives none.
 
     Rows with one vector are reduced on the index side to those that can be among the k
-    smallest ids for any asking group (at most k of a group and 2 k in all), so that a
+    smallest ids for any asking group (at most k + 1 of a group and 2 k + 1 in all), so that a
     vector held by a third of all rows stays a few rows of a block.
     """
     dims, xs = len(vector), [f"x{i}" for i in range(len(vector))]
@@ -197,7 +199,7 @@ def nearest(df: DataFrame, id_col: str, vector: list[Column], k: int, group_col:
 
     same = Window.partitionBy(*xs, "grp").orderBy("id")
     alike = Window.partitionBy(*xs).orderBy("id")
-    index = points.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= 2 * k)
+    index = points.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= 2 * k + 1)
     index = _blocked(index, tree, dims, F.lit(0.0))
     asking = points.where("asks")
     if max_distance is not None:
