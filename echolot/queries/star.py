@@ -80,10 +80,10 @@ def case_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", rank.alias("rank"), "p_name").orderBy("rank", "p_name", "p_partkey").limit(200)
 
 
-@query("SELECT event_type, quantile_cont(value, 0.2) AS p20, round(sqrt(avg(value * value)), 6) AS rms, max(abs(value)) AS peak FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.2), 6) AS p20, round(sqrt(avg(value * value)), 6) AS rms, max(abs(value)) AS peak FROM events GROUP BY event_type")
 def frame_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Percentile, level and peak by group."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.2)).alias("p20"), F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"), F.max(F.abs("value")).alias("peak"))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.2)), 6).alias("p20"), F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"), F.max(F.abs("value")).alias("peak"))
 
 
 @query("""WITH a AS (SELECT user_id, value - lag(value) OVER w AS d, ts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
