@@ -11,6 +11,7 @@ topic proportions of the document and of its sentences.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,10 @@ MAX_BACKGROUND = 6
 PASSES, INNER = 6, 6
 #: A term may belong to a subject from this share of the documents' subject words around it; with the second share it is no background.
 MAY_SHARE, MUST_SHARE = 0.25, 0.4
+#: Rounds in which words found by their company speak for others; documents of doubt in each share.
+ROUNDS, DOUBT = 3, 1.0
+#: Words of a language that are grouped by the documents they share, at most; lift from which two belong together.
+MAX_GROUPED, MIN_LIFT = 1500, 3.0
 #: Prior of subjects and background in a document's proportions; weight of the examples' words.
 ALPHA, ALPHA_BACKGROUND, SEED_WEIGHT, ETA = 0.1, 2.0, 20.0, 0.01
 #: Tokens padded into one batch of inference.
@@ -185,12 +190,15 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang: Column, examples: Dat
     frequency = vocabulary["docs"].to_numpy(float) / max(vocabulary["docs"].sum(), 1) if terms else np.zeros(0)
     # what may belong where: by the company a term keeps over all documents
     company, met = seeds, np.zeros(len(terms))
-    if terms and subjects:
-        company, met = _company(bags, seeds)
-        # once more with the words found, so that languages with few examples count too
-        plain = np.array([t in barred for t in terms])[:, None]
-        company, met = _company(bags, np.where((company >= MUST_SHARE) & ~plain, company, 0))
+    plain = np.array([t in barred for t in terms], dtype=bool)[:, None]
+    known = seeds
+    for _ in range(ROUNDS if terms and subjects else 0):
+        company, met = _company(bags, known)
         company = np.where(plain, 0, company)
+        # the words found speak in the next round, so that languages with few examples count too
+        known = np.where(company >= MUST_SHARE, company, 0)
+    if terms and subjects:
+        company = _with_unnamed_groups(bags, company, table, [docs_in[n] for n in named], terms, plain[:, 0], subjects)
     lonely = (seeds > 0) & (met < 3)[:, None]
     may = (company >= MAY_SHARE) | lonely
     seeds = np.where(may, seeds, 0)
@@ -210,9 +218,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang: Column, examples: Dat
 
 
 def _company(bags: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms by subjects: mean share of each subject in the seeded words of the documents that hold the term; and the number of these documents.
+    """Terms by subjects: share of each subject in the known words of the documents that hold the term; and the number of these documents.
 
-    Documents without a seeded word say nothing.  A term's own seeds do not count for it.
+    Documents without another known word say nothing for any subject, but they count.  A
+    term's own entry does not count for it.
     """
     by_term = (seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
     sent = bags.sparkSession.sparkContext.broadcast(by_term)
@@ -229,20 +238,131 @@ def _company(bags: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 whole = rest.sum(axis=1, keepdims=True)
                 known = whole[:, 0] > 0.5
                 total[held[known], :-1] += rest[known] / whole[known]
-                total[held[known], -1] += 1
+                total[held, -1] += 1
         used = np.flatnonzero(total[:, -1])
         yield pd.DataFrame({"term": used.astype(np.int32), "docs": total[used, -1], **{n: total[used, k] for k, n in enumerate(names)}})
 
     parts = bags.select("ids").mapInPandas(gather, ", ".join(["term int", "docs double", *[f"{n} double" for n in names]]))
     summed = parts.groupBy("term").agg(F.sum("docs").alias("docs"), *[F.sum(n).alias(n) for n in names]).toPandas()  # a row per term
-    out = np.zeros(seeds.shape)
-    # terms met in few documents lean on nothing: one document's worth of doubt
-    out[summed["term"].to_numpy(int)] = summed[names].to_numpy(float) / (summed[["docs"]].to_numpy(float) + 1)
-    met = np.zeros(len(seeds))
-    met[summed["term"].to_numpy(int)] = summed["docs"].to_numpy(float)
+    out, met = np.zeros(seeds.shape), np.zeros(len(seeds))
+    at = summed["term"].to_numpy(int)
+    # terms met in few documents lean on nothing: some documents' worth of doubt
+    out[at] = summed[names].to_numpy(float) / (summed[["docs"]].to_numpy(float) + DOUBT)
+    met[at] = summed["docs"].to_numpy(float)
     return out, met
 
 
+def _with_unnamed_groups(bags: DataFrame, company: np.ndarray, counts: np.ndarray, docs_in: list[int], terms: list[str], barred: np.ndarray, subjects: list[str]) -> np.ndarray:
+    """company with the words of subjects that a language's examples do not show.
+
+    Words of a language whose company names no subject fall into groups by the documents
+    that hold two of them in different sentences (which filler sentences never do more
+    often than by chance).  A group goes to the subject whose known words keep it company,
+    else to one of the subjects with hardly a known word in the language, so that the
+    spelling agrees best with the subjects' words in other languages.
+    """
+    if not docs_in:
+        return company
+    home = counts.argmax(axis=1)
+    named = company.max(axis=1) >= MUST_SHARE
+    single = np.array([" " not in t for t in terms])
+    own = counts[np.arange(len(terms)), home]
+    often = own >= np.maximum(5, 0.004 * np.array(docs_in)[home])
+    usable = single & often & ~barred & (own >= 0.6 * counts.sum(axis=1))
+    picked = np.concatenate([np.flatnonzero(usable & (home == n))[:MAX_GROUPED] for n in range(len(docs_in))])  # the most frequent come first
+    if not len(picked):
+        return company
+    place = np.full(len(terms), -1)
+    place[picked] = np.arange(len(picked))
+    sent = bags.sparkSession.sparkContext.broadcast(place)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where = sent.value
+        total: dict[int, int] = {}
+        size = int(where.max()) + 1
+        for batch in batches:
+            for ids, at in zip(batch["ids"], batch["sentence"]):
+                spot = where[np.asarray(ids, dtype=np.int64)]
+                here, line = spot[spot >= 0], np.asarray(at, dtype=np.int64)[spot >= 0]
+                held, pos = np.unique(here, return_inverse=True)
+                if len(held) < 2:
+                    continue
+                m = np.zeros((len(held), int(line.max()) + 1), dtype=np.int32)
+                m[pos, line] = 1
+                n = m.sum(axis=1)
+                a, b = np.nonzero(np.triu(np.outer(n, n) - m @ m.T, 1))
+                for k in (held[a] * size + held[b]).tolist():
+                    total[k] = total.get(k, 0) + 1
+        keys = np.array(list(total), dtype=np.int64)
+        yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": list(total.values())})
+
+    pairs = bags.select("ids", "sentence").mapInPandas(gather, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3").toPandas()  # at most MAX_GROUPED squared a language
+    a, b = picked[pairs["a"].to_numpy(int)], picked[pairs["b"].to_numpy(int)]
+    same = home[a] == home[b]
+    a, b, n = a[same], b[same], pairs["n"].to_numpy(float)[same]
+    lift = n * np.array(docs_in, dtype=float)[home[a]] / (own[a] * own[b])
+    near: dict[int, dict[int, float]] = {}
+    for x, y, v in zip(np.r_[a, b].tolist(), np.r_[b, a].tolist(), np.r_[lift, lift].tolist()):
+        near.setdefault(x, {})[y] = v
+    company = company.copy()
+    for lang in range(len(docs_in)):
+        unnamed = [t for t in picked.tolist() if home[t] == lang and not named[t]]
+        groups = [g for g in _linked(unnamed, near) if len(g) >= 3]
+        known = {k: [t for t in picked.tolist() if home[t] == lang and named[t] and company[t].argmax() == k] for k in range(len(subjects))}
+        missing = [k for k in known if len(known[k]) < 3]
+        left = []
+        for g in groups:
+            pull = {k: np.mean([near.get(t, {}).get(u, 0.0) for t in g for u in known[k]]) for k in known if known[k]}
+            best = max(pull, key=pull.get, default=None)
+            if best is not None and pull[best] >= MIN_LIFT:
+                company[g] = np.eye(len(subjects))[best]
+            else:
+                left.append(g)
+        abroad = {k: [terms[t] for t in np.flatnonzero(named & single & (home != lang) & (company.argmax(axis=1) == k))[:200]] for k in missing}
+        for g, k in _by_spelling([[terms[t] for t in g] for g in left], abroad):
+            company[left[g]] = np.eye(len(subjects))[k]
+    return company
+
+
+def _linked(nodes: list[int], near: dict[int, dict[int, float]]) -> list[list[int]]:
+    """Groups of nodes linked by a lift of MIN_LIFT, directly or through others."""
+    open_, groups = set(nodes), []
+    for node in nodes:
+        if node not in open_:
+            continue
+        group, stack = [], [node]
+        open_.discard(node)
+        while stack:
+            x = stack.pop()
+            group.append(x)
+            for y, v in near.get(x, {}).items():
+                if v >= MIN_LIFT and y in open_:
+                    open_.discard(y)
+                    stack.append(y)
+        groups.append(group)
+    return groups
+
+
+def _by_spelling(groups: list[list[str]], subjects: dict[int, list[str]]) -> list[tuple[int, int]]:
+    """(group, subject) pairs, each at most once, the best agreement of spelling first; a lone pair at the end needs none."""
+
+    def grams(word: str) -> set[str]:
+        bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        return {f" {bare} "[i : i + 3] for i in range(len(bare))}
+
+    def alike(x: str, y: str) -> float:
+        p, q = grams(x), grams(y)
+        return len(p & q) / max(len(p | q), 1)
+
+    scores = {(g, k): sum(max((alike(w, v) for v in words), default=0.0) ** 2 for w in group) / len(group) for g, group in enumerate(groups) for k, words in subjects.items()}
+    out = []
+    while scores:
+        g, k = max(scores, key=lambda x: (scores[x], -x[0], -x[1]))
+        out.append((g, k))
+        scores = {x: v for x, v in scores.items() if x[0] != g and x[1] != k}
+    return out
+
+
 def _expected_counts(bags: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """Expected uses of each term by each topic over all documents."""
     model = bags.sparkSession.sparkContext.broadcast((phi, alpha))
