@@ -26,6 +26,8 @@ from .textform import folded
 MAX_TERMS = 100_000
 #: Labelled examples read at most; they are fitted on the driver.
 MAX_EXAMPLES = 20_000
+#: Words a line must have to be a sentence and no heading or scrap.
+MIN_SENTENCE = 4
 #: Documents a word, a pair of neighbouring words must be in to be a term.
 MIN_WORD_DOCS, MIN_PAIR_DOCS = 3, 5
 #: A word that so large a share of a language's documents hold is no mark of a subject.
@@ -109,7 +111,7 @@ def _tokenized(docs: DataFrame) -> DataFrame:
         for batch in batches:
             terms, at = [], []
             for text in batch["text"]:
-                split = [terms_of(s) for s in sentences(text)]
+                split = [terms_of(s) for s in sentences(text) if len(s) >= MIN_SENTENCE]
                 terms.append([t for s in split for t in s])
                 at.append([n for n, s in enumerate(split) for _ in s])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "terms": terms, "sentence": at})
