@@ -34,7 +34,7 @@ def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in raw.columns else F.lit("")
     rows = raw.select(
         text("CatID").alias("cat_id"), F.upper(text("CatShort")).alias("cat_short"), F.upper(text("Category")).alias("category"), F.upper(text("SubCategory")).alias("subcategory"),
-        F.nullif(text("Explanations"), F.lit("")).alias("explanations"), F.filter(F.transform(F.split(text("Synonyms"), ","), F.trim), lambda x: x != "").alias("synonyms"),
+        F.nullif(text("Explanations"), F.lit("")).alias("explanations"), F.filter(F.transform(F.split(text("Synonyms"), ","), lambda x: F.trim(x)), lambda x: x != "").alias("synonyms"),
     )
     return rows.where("cat_id <> '' AND cat_short <> '' AND category <> '' AND subcategory <> ''")
 

@@ -17,22 +17,29 @@ def events(spark: SparkSession, folder: str, schema: str, per_trigger: int = 50)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """df with a watermark; a stream's time without zone is read in the session's zone."""
+    if df.isStreaming and dict(df.dtypes)[ts] == "timestamp_ntz":
+        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withWatermark(ts, late)
+
+
 def windowed(df: DataFrame, ts: str, size: str, slide: str | None, late: str, *keys: str, value: str) -> DataFrame:
     """(start, end, keys, n, total): tumbling or sliding windows; what comes later than the watermark is dropped."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    out = df.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    out = _timed(df, ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
 def sessions(df: DataFrame, ts: str, gap: str, late: str, key: str) -> DataFrame:
     """(key, start, end, n): stretches of events of a key no further apart than gap."""
-    out = df.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    out = _timed(df, ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(df: DataFrame, ts: str, late: str, keys: Sequence[str]) -> DataFrame:
     """The first event of each key within the watermark."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(df, ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 class SnapshotSink:
