@@ -222,7 +222,11 @@ def pack_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return packs.overlaps(_files(spark, sf), threshold=0.05)
 
 
-@query()
+@query(f"""WITH {_FOLDERS}, h AS (SELECT p.* FROM p JOIN k USING (folder)), s AS (SELECT md5 FROM h GROUP BY md5 HAVING count(*) BETWEEN 2 AND 25),
+    o AS (SELECT DISTINCT a.folder AS l, b.folder AS r FROM h a JOIN h b ON a.md5 = b.md5 AND a.folder < b.folder JOIN s ON s.md5 = a.md5 WHERE NOT starts_with(a.folder, b.folder || '/') AND NOT starts_with(b.folder, a.folder || '/')),
+    x AS (SELECT l, r, sum(least(a.n, b.n) * least(a.size, b.size)) AS sb FROM o JOIN h a ON a.folder = l JOIN h b ON b.folder = r AND a.md5 = b.md5 GROUP BY l, r),
+    y AS (SELECT l, r, sb / nullif(least(a.bytes, b.bytes), 0) AS c, a.bytes < b.bytes OR (a.bytes = b.bytes AND a.n_files < b.n_files) AS lg FROM x JOIN k a ON a.folder = l JOIN k b ON b.folder = r WHERE a.sig <> b.sig)
+    SELECT CASE WHEN lg THEN l ELSE r END AS source, CASE WHEN lg THEN r ELSE l END AS target, round(c, 4) AS coverage, CASE WHEN round(c, 4) >= 1 THEN 'quarantine' ELSE 'review' END AS action FROM y WHERE c >= 0.5""")
 def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Which folder of an overlapping pair to give up."""
     files = _files(spark, sf)
@@ -230,6 +234,25 @@ def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
     return packs.plan(packs.overlaps(files, threshold=0.5), kept)
 
 
+def _collision(c: str) -> str:
+    return f"array_to_string(list_transform(string_split({R.key(c)}, '/'), lambda x: CASE WHEN x IN ('', '.') THEN x ELSE lower(regexp_replace(x, '[ .]+$', '')) END), '/')"
+
+
+def _rename_sql(new: str) -> str:
+    return f"""WITH b AS (SELECT id, path, {R.base('path')} AS old, nfc_normalize({R.base('path')}) AS n FROM files), r AS (SELECT id, path AS source, left(path, length(path) - length(old)) || new AS target FROM (SELECT *, {new} AS new FROM b) WHERE new <> old),
+    k AS (SELECT *, {_collision('target')} AS ck FROM r), t AS (SELECT id, {_collision('path')} AS ck FROM files)
+    SELECT id, source, target, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.ck = k.ck AND t.id <> k.id) OR min(id) OVER (PARTITION BY ck) < id THEN 'conflict' ELSE 'planned' END AS status FROM k"""
+
+
+_SAFE = "regexp_replace(trim(regexp_replace(n, '[:*?\"<>|]+', '_', 'g')), '_+', '_', 'g')"
+_UPPER = f"""regexp_replace(regexp_replace(regexp_replace({R.stem('n')}, '[:*?"<>|#&;''\\\\!]+', '_', 'g'), '[\\s\\-_]+', '_', 'g'), '^[._ ]+|[._ ]+$', '', 'g')"""
+_RENAMES = {
+    "safe": _rename_sql(f"CASE WHEN {_SAFE} IN ('', '.', '..') THEN 'UNTITLED' ELSE {_SAFE} END"),
+    "portable": None,
+    "ucs": _rename_sql(f"CASE WHEN regexp_matches(upper({R.stem('n')}), '^([A-Z]{{2,5}})_([A-Z]{{2,8}})(?:_|$)') THEN '' ELSE 'SFX_MISC_' END || coalesce(nullif(upper(replace({_UPPER}, 'ß', 'SS')), ''), 'UNTITLED') || lower({R.suffix('n')})"),
+}
+
+
 def _rename(style: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return layout.rename_plan(_files(spark, sf), style)
@@ -239,8 +262,8 @@ def _rename(style: str):
     return run
 
 
-for _style in ("safe", "portable", "ucs"):
-    query()(_rename(_style))
+for _style, _sql in _RENAMES.items():
+    query(_sql)(_rename(_style))
 
 
 _ST = f"""a AS (SELECT {R.slashed('path')} AS p, path FROM files), b AS (SELECT unnest(list_filter(list_transform(range(1, greatest(len(string_split(p, '/')), 2)), lambda n: array_to_string(string_split(p, '/')[1:n], '/')), lambda x: x NOT IN ('', '/'))) AS folder,
@@ -256,26 +279,47 @@ def folder_stats(spark: SparkSession, sf: str) -> DataFrame:
     return layout.folder_stats(_files(spark, sf))
 
 
-@query()
+_FK = "lower(regexp_replace({}, '[\\s._-]+', ' ', 'g'))"
+_EMPTY = tuple(layout.EMPTY_FOLDERS)
+
+
+@query(f"""WITH {_ST}, o AS (SELECT parent AS folder, min(folder) AS child, min(name) AS child_name FROM st GROUP BY parent)
+    SELECT st.folder, 'repeated_folder_name' AS kind, parent AS target FROM st WHERE audio_files > 0 AND {_FK.format('name')} = {_FK.format(R.base('parent'))}
+    UNION ALL SELECT st.folder, 'single_child_chain', o.child FROM st JOIN o ON o.folder = st.folder WHERE audio_files > 0 AND direct_files = 0 AND child_folders = 1 AND lower(child_name) NOT IN {_EMPTY}
+    UNION ALL SELECT folder, 'low_value_wrapper', parent FROM st WHERE audio_files > 0 AND child_folders = 0 AND lower(name) IN {layout.LEAF_WRAPPERS}""")
 def folder_nesting(spark: SparkSession, sf: str) -> DataFrame:
     """Folders that nest without need."""
     return layout.nesting(layout.folder_stats(_files(spark, sf)))
 
 
-@query()
+_PX = "'^([A-Za-z][A-Za-z0-9]*?)(?:\\+{2,}|[_\\s.-]+)(.+)$'"
+
+
+@query(f"""WITH {_ST}, q AS (SELECT folder, parent, regexp_extract(name, {_PX}, 1) AS prefix, trim(regexp_replace(regexp_extract(name, {_PX}, 2), '[ \\-_.+]+$|^[ \\-_.+]+', '', 'g')) AS new_name FROM st),
+    z AS (SELECT *, lower(prefix) AS k FROM q WHERE length(prefix) >= 3 AND new_name <> '' AND (regexp_matches(prefix, '^[A-Z]{{3,8}}$') OR regexp_matches(prefix, '[0-9]') OR regexp_matches(prefix, '^.+[A-Z]')))
+    SELECT parent, min(prefix) OVER w AS prefix, folder, new_name FROM z WINDOW w AS (PARTITION BY parent, k) QUALIFY count(*) OVER w >= 3""")
 def folder_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Sibling folders that begin with one code."""
     return layout.common_prefix(layout.folder_stats(_files(spark, sf)))
 
 
-@query()
+_BARE = "regexp_replace(trim(name), '^[\\[(]\\s*([^\\[\\]()]+?)\\s*[\\])]$', '\\1')"
+_CUT = f"regexp_replace(trim(regexp_replace({_BARE}, '^\\s*(?:\\d{{1,3}}\\s*[-_.]\\s*|\\d{{1,3}}\\s{{2,}}|(?:0\\d+|\\d)\\s+)(\\S)', '\\1')), '^[ \\-_.]+|[ \\-_.]+$', '', 'g')"
+
+
+@query(f"WITH {_ST} SELECT folder, {_CUT} AS new_name FROM st WHERE {_CUT} <> trim(name) AND {_CUT} <> '' AND NOT regexp_full_match({_CUT}, '[0-9]+')")
 def folder_sort_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Folders whose names lose a sort number or brackets."""
     stats = layout.folder_stats(_files(spark, sf))
     return stats.select("folder", layout.without_sort_number(F.col("name")).alias("new_name")).where("new_name IS NOT NULL")
 
 
-@query()
+_DIR = f"left(path, length(path) - length({R.base('path')}))"
+_ROOM = f"greatest(90 - strlen({_DIR}) - 7 - strlen({R.suffix(R.base('path'))}), 1)"
+_SHORT = f"regexp_replace(left({R.stem('path')}, {_ROOM}), '[ \\-_.]+$', '')"
+
+
+@query(f"SELECT id, {_DIR} || coalesce(nullif({_SHORT}, ''), 'SHORT') || '_' || left(md5({R.base('path')}), 6) || {R.suffix(R.base('path'))} AS short_path FROM files WHERE strlen(path) > 90")
 def shortened_paths(spark: SparkSession, sf: str) -> DataFrame:
     """File paths of more than 90 bytes, shortened."""
     p = F.col("path")

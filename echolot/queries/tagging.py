@@ -70,7 +70,27 @@ def tag_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     return tags.from_synonyms(tags.from_ucs_stem(_context(spark, sf), catalog), pairs)
 
 
-@query()
+_LOW = ", ".join(f"'{w}'" for w in tags.LOW_VALUE_WORDS)
+_BROAD = ", ".join(f"'{w}'" for w in tags.BROAD_WORDS)
+_AF = "CASE lower(trim(field)) WHEN 'keywords' THEN 'keyword' WHEN 'genre' THEN 'category' WHEN 'ignr' THEN 'category' ELSE lower(trim(field)) END"
+
+
+def _w(c: str) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_LOW}))"
+
+
+_REL = f"CASE WHEN {R.key('path')} = '{ROOT}' OR starts_with({R.key('path')}, '{ROOT}/') THEN substr({R.slashed('path')}, {len(ROOT) + 2}) END"
+
+
+@query(f"""WITH ok AS (SELECT * FROM files WHERE scan_error IS NULL), s AS (SELECT id AS file_id, 'filename' AS source, {_w("coalesce(stem, '')")} AS w FROM ok
+    UNION ALL SELECT id, 'path', {_w(f"coalesce({R.parent(_REL)}, '')")} FROM ok
+    UNION ALL SELECT file_id, source, list_distinct(flatten(list(w))) FROM (SELECT file_id, CASE WHEN {_AF} IN ('category', 'ucs_category') THEN 'accepted_category' ELSE 'accepted_semantic' END AS source, {_w('value')} AS w FROM accepted_tags WHERE value IS NOT NULL AND file_id IN (SELECT id FROM ok)) GROUP BY ALL),
+    e AS (SELECT cat_id, {_w("category || ' ' || cat_short")} AS cat, unnest({_w('subcategory')}) AS word FROM ucs_entries), n AS (SELECT word, count(*) AS n FROM e GROUP BY word),
+    u AS (SELECT file_id, source, w, unnest(w) AS word FROM s), h AS (SELECT file_id, source, cat_id, list_has_any(w, cat) AS ctx, n, word FROM u JOIN e USING (word) JOIN n USING (word)),
+    o AS (SELECT * FROM h WHERE ctx OR source = 'accepted_category' OR (n <= 3 AND word NOT IN ({_BROAD}))), f AS (SELECT file_id, cat_id, list_sort(list_distinct(list(source))) AS so, bool_or(ctx) AS ctx FROM o GROUP BY ALL)
+    SELECT file_id, cat_id, CASE WHEN list_contains(so, 'accepted_category') OR list_contains(so, 'accepted_semantic') OR (ctx AND list_contains(so, 'path')) THEN 'strong' WHEN ctx AND len(so) >= 2 THEN 'review' ELSE 'weak' END AS strength,
+    CAST(CASE WHEN list_contains(so, 'accepted_category') OR list_contains(so, 'accepted_semantic') THEN 0.9 WHEN ctx AND list_contains(so, 'path') THEN 0.82 WHEN ctx AND len(so) >= 2 THEN 0.68 WHEN len(so) >= 2 THEN 0.5 ELSE 0.45 END AS DOUBLE) AS confidence,
+    array_to_string(so, ',') AS sources FROM f WHERE len(so) > 1 OR NOT list_contains(so, 'filename') OR ctx""")
 def tag_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Catalog entries that names, folders and tags point to."""
     return tags.proposals(table(spark, sf, "files"), table(spark, sf, "accepted_tags"), table(spark, sf, "ucs_entries"), ROOT)
@@ -94,9 +114,12 @@ def tag_fusion_winners(spark: SparkSession, sf: str) -> DataFrame:
 _SLOT = f"CASE WHEN {_F} = 'keyword' THEN {_V} ELSE '' END"
 
 
-@query(f"""WITH e AS (SELECT DISTINCT id AS entry_id, file_id, {_F} AS field, value, {_SLOT} AS s FROM accepted_tags WHERE source = 'filename'), x AS (SELECT DISTINCT file_id, {_F} AS field, {_SLOT} AS s FROM accepted_tags WHERE source = 'manual' AND trim(value) <> '')
+_PLAN = f"""WITH e AS (SELECT DISTINCT id AS entry_id, file_id, {_F} AS field, value, {_SLOT} AS s FROM accepted_tags WHERE source = 'filename'), x AS (SELECT DISTINCT file_id, {_F} AS field, {_SLOT} AS s FROM accepted_tags WHERE source = 'manual' AND trim(value) <> '')
     SELECT entry_id, e.file_id, e.field, value, CASE WHEN x.file_id IS NOT NULL OR min(entry_id) OVER (PARTITION BY e.file_id, e.field, e.s) < entry_id THEN 'skip_existing' ELSE 'add' END AS action
-    FROM e LEFT JOIN x ON x.file_id = e.file_id AND x.field = e.field AND x.s = e.s""")
+    FROM e LEFT JOIN x ON x.file_id = e.file_id AND x.field = e.field AND x.s = e.s"""
+
+
+@query(_PLAN)
 def tag_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Tags from file names planned onto those set by hand."""
     rows = table(spark, sf, "accepted_tags")
@@ -104,7 +127,10 @@ def tag_plan(spark: SparkSession, sf: str) -> DataFrame:
     return tags.planned(entries, rows.where("source = 'manual'"))
 
 
-@query()
+@query(f"""WITH p AS ({_PLAN}), h AS (SELECT DISTINCT file_id, {_F} AS f, {_V} AS v FROM accepted_tags WHERE source = 'manual'),
+    n AS (SELECT file_id, {_F} AS f, {_V} AS v, arg_min(value, entry_id) AS value, min(entry_id) AS plan_entry_id FROM p WHERE action = 'add' GROUP BY ALL)
+    SELECT * FROM accepted_tags WHERE source = 'manual' UNION ALL BY NAME SELECT n.file_id, n.f AS field, n.value, n.plan_entry_id, TIMESTAMP '2025-01-01' AS created_at, TIMESTAMP '2025-01-01' AS updated_at
+    FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file_id = n.file_id AND h.f = n.f AND h.v = n.v)""")
 def tag_apply(spark: SparkSession, sf: str) -> DataFrame:
     """The tags set by hand after the plan of ``tag_plan``."""
     held = table(spark, sf, "accepted_tags").where("source = 'manual'")
@@ -131,7 +157,14 @@ def tag_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("file_id", "field").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
 
 
-@query()
+_PLACES = ", ".join(f"('{f}', '{n}', '{k}')" for f, ks in values.EMBEDDED_KEYS.items() for n, k in ks)
+
+
+@query(f"""WITH k(field, namespace, key) AS (VALUES {_PLACES}), t AS (SELECT file_id, {_F} AS field, value, confidence FROM accepted_tags WHERE value IS NOT NULL),
+    w AS (SELECT DISTINCT file_id, namespace, key, value FROM t JOIN k USING (field) WHERE confidence >= 0.2), c AS (SELECT file_id, namespace, key, count(DISTINCT value) > 1 AS bad FROM w GROUP BY ALL),
+    h AS (SELECT file_id, namespace, key, min(value) AS existing FROM t JOIN k USING (field) WHERE confidence < 0.2 GROUP BY ALL)
+    SELECT file_id, namespace, key, w.value, h.existing, CASE WHEN bad THEN 'conflict' WHEN h.existing = w.value THEN 'skip_same' WHEN h.existing IS NOT NULL THEN 'replace' ELSE 'add' END AS action
+    FROM w JOIN c USING (file_id, namespace, key) LEFT JOIN h USING (file_id, namespace, key)""")
 def embed_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted tags to be embedded, with tags of low confidence standing for what the files hold."""
     places = [(f, n, k) for f, ks in values.EMBEDDED_KEYS.items() for n, k in ks]
