@@ -131,3 +131,28 @@ def descriptor_is_current(mtime: str = "mtime", size: str = "size_bytes") -> Col
     for c in (*anchors, *known):
         out = out & c
     return out
+
+
+def near_duplicates(found: DataFrame, items: DataFrame, id_col: str, hash_col: str | None = None) -> DataFrame:
+    """(component, members, pairs, best_score, exact_pairs): groups of items linked by pairs.
+
+    Pairs with equal known hashes are exact copies: they are counted, not linked.
+    """
+    rows = found
+    if hash_col:
+        h = items.select(F.col(id_col).alias("_i"), F.col(hash_col).alias("_h"))
+        rows = rows.join(h.toDF("left_id", "_lh"), "left_id").join(h.toDF("right_id", "_rh"), "right_id").withColumn("exact", F.coalesce(F.col("_lh") == F.col("_rh"), F.lit(False)))
+    else:
+        rows = rows.withColumn("exact", F.lit(False))
+    rows = cut(rows.select("left_id", "right_id", "score", "exact"))
+    label = components(rows.where("NOT exact"))
+    size = label.groupBy("component").agg(F.count("*").alias("members"))
+    of_pair = rows.join(label.withColumnRenamed("id", "left_id"), "left_id").groupBy("component").agg(
+        F.count_if(~F.col("exact")).alias("pairs"), F.max(F.when(~F.col("exact"), F.col("score"))).alias("best_score"), F.count_if("exact").alias("exact_pairs")
+    )
+    return size.join(of_pair, "component")
+
+
+def random_page(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """n rows in an order drawn from the seed, the same for the same rows."""
+    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)

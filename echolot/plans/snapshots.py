@@ -118,3 +118,39 @@ def write_plan(tags: DataFrame, embedded: DataFrame, keys: DataFrame) -> DataFra
     rows = wanted.join(held, ["file_id", "namespace", "key"], "left")
     action = F.when(F.col("conflict"), "conflict").when(F.col("existing") == F.col("value"), "skip_same").when(F.col("existing").isNotNull(), "replace").otherwise("add")
     return rows.select("file_id", "namespace", "key", "value", "existing", action.alias("action"))
+
+
+def selected(plan: DataFrame, **wanted: Sequence[str]) -> DataFrame:
+    """plan entries whose columns hold one of the wanted values, whatever the case; an empty list selects all."""
+    for column, values in wanted.items():
+        if values:
+            plan = plan.where(F.lower(F.col(column)).isin([v.strip().lower() for v in values]))
+    return plan
+
+
+def staleness(artifacts: DataFrame, root: str, newest: DataFrame) -> DataFrame:
+    """artifacts (path, root, created_at) with the reason why one cannot be used again, NULL if it can.  newest: one row (last_scan)."""
+    rows = artifacts.crossJoin(F.broadcast(newest.select("last_scan")))  # one row
+    reason = F.when(F.col("root").isNull(), "no_root").when(F.col("root") != root, "other_root").when(F.col("created_at").isNull(), "no_time").when(F.col("created_at") < F.col("last_scan"), "older_than_scan")
+    return rows.withColumn("stale", reason).drop("last_scan")
+
+
+def merge_feedback(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Feedback by normal pair: the smaller (file, segment) left, the later state kept, created_at of the first."""
+    a = F.struct(F.col("left_file_id").alias("f"), F.coalesce("left_segment_index", F.lit(-1)).alias("s"))
+    b = F.struct(F.col("right_file_id").alias("f"), F.coalesce("right_segment_index", F.lit(-1)).alias("s"))
+
+    def normal(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_a", F.least(a, b)).withColumn("_b", F.greatest(a, b)).withColumns({
+            "left_file_id": F.col("_a.f"), "left_segment_index": F.col("_a.s"), "right_file_id": F.col("_b.f"), "right_segment_index": F.col("_b.s"),
+        })
+        return rows.drop("_a", "_b").select(*df.columns)
+
+    keys = ["backend", "scope", "left_file_id", "left_segment_index", "right_file_id", "right_segment_index"]
+    return upsert(normal(old), latest(normal(new), keys, [F.col("updated_at")]).select(*new.columns), keys, ["created_at"])
+
+
+def expired(files: DataFrame, keep_days: int, today: str, pattern: str = r"(\d{8})_(\d{6})") -> DataFrame:
+    """Backup paths whose stamp is older than keep_days; paths without a stamp stay."""
+    stamp = F.to_date(F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")), "yyyyMMdd")
+    return files.withColumn("stamp", stamp).where(F.col("stamp") < F.date_sub(F.lit(today).cast("date"), keep_days))

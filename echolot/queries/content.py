@@ -332,3 +332,24 @@ def scan_error_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of files that could not be read, by class (no bytes at hand)."""
     rows = _files(spark, sf).where("scan_error IS NOT NULL")
     return rows.groupBy("scan_error", names.scan_error_class(F.lit(b""), F.col("scan_error")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_CW = ", ".join(f"('{w}', '{c}')" for c, ws in layout.CATEGORY_WORDS.items() for w in ws)
+
+
+@query(f"""WITH w(word, category) AS (VALUES {_CW}), f AS (SELECT {R.parent(R.slashed('path'))} AS folder, unnest(list_distinct(string_split_regex(lower(regexp_replace({R.stem('path')}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[\\s._-]+'))) AS word FROM files),
+    s AS (SELECT folder, category, count(*) AS score FROM f JOIN w USING (word) WHERE folder IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER v AS n, lead(score) OVER v AS nxt FROM s WINDOW v AS (PARTITION BY folder ORDER BY score DESC, category DESC))
+    SELECT folder, category, score FROM r WHERE n = 1 AND score >= 3 AND score >= coalesce(nxt, 0) + 2""")
+def folder_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories of folders by the words in their file names."""
+    return layout.folder_categories(_files(spark, sf))
+
+
+@query(f"""WITH g AS (SELECT count(*) - 1 AS extra, (count(*) - 1) * max(size_bytes) AS w FROM files WHERE {_OK} GROUP BY md5 HAVING count(*) > 1)
+    SELECT (SELECT count(*) FROM files) AS files, (SELECT count(scan_error) FROM files) AS scan_errors, (SELECT CAST(coalesce(sum(extra), 0) AS BIGINT) FROM g) AS extra_copies, (SELECT CAST(coalesce(sum(w), 0) AS BIGINT) FROM g) AS wasted_bytes,
+    (SELECT count(*) FROM accepted_tags) AS tags, (SELECT count(DISTINCT file_id) FROM accepted_tags) AS tagged_files""")
+def audit_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """One row over several reports."""
+    files = _files(spark, sf)
+    parts = [audits.library(files).select("files", "scan_errors"), duplicates.summary(files).select("extra_copies", "wasted_bytes"), table(spark, sf, "accepted_tags").agg(F.count("*").alias("tags"), F.count_distinct("file_id").alias("tagged_files"))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each

@@ -72,3 +72,32 @@ def segment_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Segments by file."""
     rows = table(spark, sf, "audio_segments").where("NOT isnan(coalesce(peak, 0))")
     return rows.groupBy("file_id").agg(F.count("*").alias("segments"), F.round(F.sum("duration_s"), 3).alias("seconds"), F.max("peak").alias("peak"), F.min("start_s").alias("first_start"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_PAIRS}), s AS (SELECT left_id AS u, right_id AS v FROM e UNION ALL SELECT right_id, left_id FROM e), r(id, c) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.id),
+    l AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT l.component, count(DISTINCT l.id) AS members, count(e.left_id) AS pairs, round(max(e.score), 6) AS best_score, 0 AS exact_pairs FROM l LEFT JOIN e ON e.left_id = l.id GROUP BY l.component""")
+def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of similar vectors with their pairs."""
+    e = table(spark, sf, "embeddings")
+    found = similarity.near_duplicates(similarity.pairs(e, "vec_id", "embedding", ["label"], 0.45), e, "vec_id")
+    return found.withColumn("best_score", F.round("best_score", 6)).withColumn("exact_pairs", F.col("exact_pairs").cast("int"))
+
+
+def _vec(t: str) -> list[str]:
+    log = [f"ln(1 + coalesce({t}.{c}, 0)) / 10" for c in ("zero_crossing_rate", "spectral_centroid", "spectral_rolloff")]
+    return [f"{t}.peak", f"{t}.rms", f"least(coalesce({t}.crest_factor, 0), 20) / 20", *log, f"coalesce({t}.spectral_flatness, 0)"]
+
+
+_SD = "sqrt(" + " + ".join(f"({a} - {b}) ** 2" for a, b in zip(_vec("a"), _vec("b"))) + ")"
+_KNOWN = " AND ".join(f"NOT isnan(coalesce({c}, 0))" for c in ("peak", "rms", "crest_factor", "zero_crossing_rate", "spectral_centroid", "spectral_rolloff", "spectral_flatness", "duration_s"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT *, CASE WHEN duration_s < 1 THEN 'subsecond' WHEN duration_s < 10 THEN 'short' WHEN duration_s < 60 THEN 'medium' WHEN duration_s < 300 THEN 'long' WHEN duration_s IS NOT NULL THEN 'very_long' END AS b1,
+    {_c('zero_crossing_rate')} AS b2, {_c('spectral_centroid')} AS b3, {_c('spectral_rolloff')} AS b4 FROM audio_segments WHERE peak IS NOT NULL AND rms IS NOT NULL AND {_KNOWN})
+    SELECT a.id AS left_id, b.id AS right_id, round(1 / (1 + {_SD}), 6) AS score FROM s a JOIN s b ON a.b1 IS NOT DISTINCT FROM b.b1 AND a.b2 = b.b2 AND a.b3 = b.b3 AND a.b4 = b.b4 AND a.id < b.id AND a.file_id IS DISTINCT FROM b.file_id
+    AND abs(a.peak - b.peak) < 0.011 WHERE 1 / (1 + {_SD}) >= 0.99""")
+def similar_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of different files that sound nearly the same, found block by block."""
+    rows = table(spark, sf, "audio_segments").where(_KNOWN).distinct().withColumn("v", similarity.segment_vector()).select("id", "file_id", "v", *similarity.block_key())
+    found = similarity.pairs(rows, "id", "v", ["b_duration", "b_zcr", "b_centroid", "b_rolloff"], 0.99, "file_id")
+    return found.withColumn("score", F.round("score", 6))

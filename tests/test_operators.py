@@ -180,3 +180,35 @@ def test_no_cartesian_products(spark, sf, query):
 
     plan = QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_feedback_selection_staleness_retention(spark):
+    schema = "backend string, scope string, left_file_id long, left_segment_index int, right_file_id long, right_segment_index int, state string, note string, created_at string, updated_at string"
+    old = spark.createDataFrame([("b", "file", 1, None, 2, None, "similar", None, "t0", "t0")], schema)
+    new = spark.createDataFrame([("b", "file", 2, None, 1, None, "rejected", None, "t1", "t1"), ("b", "file", 2, None, 1, -1, "similar", None, "t2", "t2"), ("b", "file", 3, 0, 1, 4, "similar", None, "t1", "t1")], schema)
+    got = {(r["left_file_id"], r["right_file_id"]): (r["state"], r["created_at"]) for r in snapshots.merge_feedback(old, new).collect()}
+    assert got == {(1, 2): ("similar", "t0"), (1, 3): ("similar", "t1")}
+    plan = spark.createDataFrame([("Title", "a"), ("comment", "b")], "field string, source string")
+    assert snapshots.selected(plan, field=["title "], source=[]).count() == 1
+    arts = spark.createDataFrame([("a", "/r", 5), ("b", "/r", 1), ("c", "/x", 9), ("d", None, 9)], "path string, root string, created_at int")
+    stale = {r["path"]: r["stale"] for r in snapshots.staleness(arts, "/r", spark.createDataFrame([(3,)], "last_scan int")).collect()}
+    assert stale == {"a": None, "b": "older_than_scan", "c": "other_root", "d": "no_root"}
+    old_ones = snapshots.expired(spark.createDataFrame([("x_20240101_000000.db",), ("x_20240301_000000.db",), ("x.db",)], "path string"), 30, "2024-03-10")
+    assert [r["path"] for r in old_ones.collect()] == ["x_20240101_000000.db"]
+
+
+def test_folder_categories_and_vendors(spark):
+    f = files(spark, [(f"/l/1000/Gun Shot {i}.wav", None) for i in range(3)] + [("/l/2000/Door.wav", None)])
+    assert [tuple(r) for r in layout.folder_categories(f).collect()] == [("/l/1000", "Weapons", 6)]
+    stats = spark.createDataFrame([("/l/a", "Acme - Big Booms"), ("/l/b", "01_acme_Rain (HD)"), ("/l/c", "Acme"), ("/l/d", "Acmeville x")], "folder string, name string")
+    got = {r["folder"]: r["product"] for r in layout.vendor_product(stats, spark.createDataFrame([("Acme",)], "vendor string")).collect()}
+    assert got == {"/l/a": "Big Booms", "/l/b": "Rain (HD"}
+
+
+def test_near_duplicate_groups_and_random_page(spark):
+    found = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (4, 5, 1.0), (2, 9, 1.0)], "left_id long, right_id long, score double")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (5, "x"), (9, "b")], "id long, md5 string")
+    got = [tuple(r) for r in similarity.near_duplicates(found, items, "id", "md5").collect()]
+    assert got == [(1, 3, 2, 0.95, 1)]
+    page = [r["id"] for r in similarity.random_page(spark.range(100), 5, 3, "id").collect()]
+    assert page == [r["id"] for r in similarity.random_page(spark.range(100).repartition(7), 5, 3, "id").collect()] and page != sorted(page)

@@ -146,3 +146,29 @@ def test_latest_is_an_aggregation(spark):
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k long, v string, at int")
     got = snapshots.latest(rows, ["k"], [F.col("at")])
     assert got.first()["v"] == "b" and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_builds_and_updates_the_index(spark, tmp_path):
+    from echolot.sources import scan
+
+    lib = tmp_path / "lib"
+    (lib / "__MACOSX").mkdir(parents=True)
+    (lib / "AMB_RAIN_01.wav").write_bytes(wav(tone(440, 0.1), extra=INFO + BEXT))
+    (lib / "bad!name.wav").write_bytes(b"junk")
+    (lib / "__MACOSX" / "x.wav").write_bytes(b"junk")
+    empty = {n: spark.createDataFrame([], schemas.schema(n)) for n in ("files", "fn_issues", "metadata_fields")}
+    one = scan.scan(spark, str(lib), empty["files"], empty["fn_issues"], empty["metadata_fields"], "full", "2024-01-01 00:00:00")
+    rows = {r["filename"]: r for r in one["files"].collect()}
+    assert rows["AMB_RAIN_01.wav"]["id"] == 1 and rows["AMB_RAIN_01.wav"]["is_ucs"] == 1 and rows["AMB_RAIN_01.wav"]["md5"] and rows["AMB_RAIN_01.wav"]["has_bext"] == 1
+    assert rows["bad!name.wav"]["scan_error"] and {(r["file_id"], r["issue"]) for r in one["fn_issues"].collect()} == {(2, "risky_chars")}
+    assert one["metadata_fields"].where("file_id = 1").count() == 4
+    held = {n: spark.createDataFrame(one[n].collect(), schemas.schema(n)) for n in empty}
+    again = scan.scan(spark, str(lib), held["files"], held["fn_issues"], held["metadata_fields"], "index", "2024-01-02 00:00:00")
+    assert again["changed"].count() == 0 and again["files"].count() == 2
+    (lib / "new.wav").write_bytes(wav(tone(500, 0.1)))
+    more = scan.scan(spark, str(lib), held["files"], held["fn_issues"], held["metadata_fields"], "hash", "2024-01-03 00:00:00")
+    assert {r["filename"]: r["id"] for r in more["changed"].collect()} == {"new.wav": 3} and more["files"].count() == 3 and more["fn_issues"].count() == 1
+    content = readers.listing(spark, str(lib), True).select("path", "content")
+    full = scan.backfill(more["files"], content, "audio", "2024-01-04 00:00:00")
+    assert {r["filename"]: r["sample_rate"] for r in full.where("scan_error IS NULL").collect()} == {"AMB_RAIN_01.wav": 44100, "new.wav": 44100}
+    assert "| 1 |" in scan.markdown("Audit", full.select("id").orderBy("id"))
