@@ -151,6 +151,7 @@ class Reference:
                     self.bare.setdefault(bare, set()).add(entry)
         self.sorted = sorted(self.exact)
         self.tree = BKTree(self.exact)
+        self.longest = max(map(len, self.exact), default=0)
 
     def begun(self, start: str) -> set[str]:
         found: set[str] = set()
@@ -174,7 +175,8 @@ class Reference:
                     rows.append((plain, tier, 0, min(found), max(found)))
                     break
             else:
-                if allowed_edits(len(core)):
+                # a value longer than every name by more than its edits is near none
+                if 0 < allowed_edits(len(core)) and len(core) <= self.longest + allowed_edits(len(core)):
                     open_.append((plain, core))
         if open_:
             best: dict[int, tuple[int, set[str]]] = {}

@@ -180,6 +180,13 @@ def test_every_long_run_is_found(spark, broadcast, monkeypatch):
     assert {k: n for k, n in got.items() if n >= 12} == want
 
 
+def test_leak_at_the_end_of_a_very_long_text(spark):
+    passage = " ".join(f"p{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    text = "some other words " * 60_000 + passage
+    found = leakage.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(7, passage)], "item_id long, passage string"), "item_id", "passage")
+    assert [tuple(r)[:3] for r in found.collect()] == [(1, 7, 26)]
+
+
 def test_leaks_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some words are here for once and all")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, passage string")
@@ -249,7 +256,8 @@ def test_topics_on_planted_subjects(spark):
         rng.shuffle(parts)
         docs.append((i, " ".join(parts + ["Nothing else changed."]), "en"))
         truth |= {(i, s) for s in main}
-    docs += [(900, None, "en"), (901, "  ", None), (902, "", "en")]
+    docs += [(900, None, "en"), (901, "  ", None), (902, "", "en"), (903, "We heard nothing more about all this. " * 20_000 + sentence("sea") + sentence("sea"), "en")]
+    truth.add((903, "sea"))
     examples = [(s, " ".join(f"see the {w}." for w in ws[:6])) for s, ws in subjects.items()] + [(None, "x"), ("sea", None)]
     model = topics.fit(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, terms int"), "doc_id", "text", F.col("lang"), spark.createDataFrame(examples, "subject string, text string"))
     got = {(r["doc_id"], r["subject"]) for r in topics.assigned(model).collect()}

@@ -132,7 +132,7 @@ def test_tree_finds_every_name_within_the_radius():
 NAMES = [("IMPACT", "w"), ("IMPACT", "m"), ("WOOD IMPACT", "w"), ("METAL IMPACT", "m"), ("Footsteps", "f"), ("dawn chorus", "s"), ("rollerblade", "r"), ("roller bed", "c"), ("DRIP", "d")]
 CASES = {
     "footsteps": "f", "FООTSTEPS!": "f", "fotsteps": "f", "the Footsteps (new)": "f", "Foottttsteps": "f", "ftstps": "f", "footst.": "f", "impact": "NONE", "impact wood": "NONE",
-    "wood: imapct": "w", "dwn chrs": "s", "dawnchorus 02": "s", "rollerb": "NONE", "newsletter": "NONE", "": "NONE", None: "NONE", "  ": "NONE", "drips": "d", "drxx": "NONE",
+    "wood: imapct": "w", "dwn chrs": "s", "dawnchorus 02": "s", "rollerb": "NONE", "newsletter": "NONE", "": "NONE", None: "NONE", "  ": "NONE", "drips": "d", "drxx": "NONE", "footsteps " * 40_000: "NONE",
 }
 
 
