@@ -42,11 +42,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode without one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"echolot-checkpoints-{os.getuid()}"))
 
 
