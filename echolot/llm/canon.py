@@ -68,28 +68,29 @@ def allowed_edits(length: int) -> int:
 
 
 def edit_distances(name: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Damerau-Levenshtein distances of one name to a batch (rows of code points, 0 after the end)."""
+    """Damerau-Levenshtein distances of one name to a batch (rows of code points, 0 after the end), a row of the table at a time."""
     n, (rows, width) = len(name), codes.shape
     far = n + width
-    table = np.full((n + 2, width + 2, rows), far, dtype=np.int16)
-    table[1:, 1] = np.arange(n + 1)[:, None]
-    table[1, 1:] = np.arange(width + 1)[:, None]
-    at = np.arange(rows)
-    last_row: dict[int, int] = {}
+    table = np.full((n + 2, rows, width + 2), far, dtype=np.int16)
+    steps = np.arange(width + 1, dtype=np.int16)
+    table[1, :, 1:] = steps
+    at = np.arange(rows)[:, None]
+    last_row = np.zeros((rows, width), dtype=np.int16)
+    last_col = np.zeros((rows, width), dtype=np.int16)
+    row = np.empty((rows, width + 1), dtype=np.int16)
     for i, ch in enumerate(map(ord, name), 1):
-        last_col = np.zeros(rows, dtype=np.int16)
-        for j in range(1, width + 1):
-            other = codes[:, j - 1]
-            k = np.zeros(rows, dtype=np.int16)
-            for c, row in last_row.items():
-                k[other == c] = row
-            same = other == ch
-            swap = table[k, last_col, at] + (i - k - 1) + 1 + (j - last_col - 1)
-            swap[(k == 0) | (last_col == 0)] = far
-            table[i + 1, j + 1] = np.minimum(np.minimum(table[i, j] + ~same, swap), np.minimum(table[i, j + 1], table[i + 1, j]) + 1)
-            last_col[same] = j
-        last_row[ch] = i
-    return table[n + 1, lengths + 1, at]
+        same = codes == ch
+        above = table[i]
+        # the last column before this one that holds the name's letter
+        last_col[:, 1:] = np.maximum.accumulate(np.where(same, steps[1:], 0), axis=1)[:, :-1]
+        swap = table[last_row, at, last_col] + (i - last_row + steps[1:] - last_col - 1)
+        swap[(last_row == 0) | (last_col == 0)] = far
+        row[:, 0] = i
+        row[:, 1:] = np.minimum(np.minimum(above[:, 1:-1] + ~same, above[:, 2:] + 1), swap)
+        # insertions: the least value to the left, one more for each step
+        table[i + 1, :, 1:] = np.minimum.accumulate(row - steps, axis=1) + steps
+        last_row[same] = i
+    return table[n + 1, at[:, 0], lengths + 1]
 
 
 class BKTree:
@@ -224,7 +225,8 @@ def mapped(plains: DataFrame, names: DataFrame) -> DataFrame:
                 reference = reference or Reference(pairs.value)
                 yield reference.winners(batch["plain"].tolist())
 
-        found = distinct.mapInPandas(resolve, _WINNERS)
+        # few bytes, much work: a partition per core, which AQE does not merge
+        found = distinct.repartition(names.sparkSession.sparkContext.defaultParallelism, "plain").mapInPandas(resolve, _WINNERS)
     else:
         shards, salts = -(-names.count() // MAX_BROADCAST_NAMES), 64
         left = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("salt", F.pmod(F.xxhash64("plain"), F.lit(salts)).cast("int"))
