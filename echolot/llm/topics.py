@@ -276,32 +276,42 @@ def _with_unnamed_groups(bags: DataFrame, company: np.ndarray, counts: np.ndarra
         return company
     place = np.full(len(terms), -1)
     place[picked] = np.arange(len(picked))
-    sent = bags.sparkSession.sparkContext.broadcast(place)
+    sent = bags.sparkSession.sparkContext.broadcast((place, named[picked], home[picked]))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where = sent.value
-        total: dict[int, int] = {}
-        size = int(where.max()) + 1
+        where, is_named, lang = sent.value
+        size = len(is_named)
+        held_keys, held_counts, loose, n_loose = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate([*loose, np.zeros(0, np.int64)]), return_counts=True)
+            keys, back = np.unique(np.concatenate([held_keys, new]), return_inverse=True)
+            return keys, np.bincount(back, weights=np.concatenate([held_counts, n]), minlength=len(keys)).astype(np.int64)
+
         for batch in batches:
             for ids, at in zip(batch["ids"], batch["sentence"]):
                 spot = where[np.asarray(ids, dtype=np.int64)]
                 here, line = spot[spot >= 0], np.asarray(at, dtype=np.int64)[spot >= 0]
                 held, pos = np.unique(here, return_inverse=True)
-                if len(held) < 2:
+                # two named words of a document tell nothing here
+                if len(held) < 2 or is_named[held].all():
                     continue
                 m = np.zeros((len(held), int(line.max()) + 1), dtype=np.int32)
                 m[pos, line] = 1
                 n = m.sum(axis=1)
                 a, b = np.nonzero(np.triu(np.outer(n, n) - m @ m.T, 1))
-                for k in (held[a] * size + held[b]).tolist():
-                    total[k] = total.get(k, 0) + 1
-        keys = np.array(list(total), dtype=np.int64)
-        yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": list(total.values())})
+                a, b = held[a], held[b]
+                told = ~(is_named[a] & is_named[b]) & (lang[a] == lang[b])
+                loose.append(a[told] * size + b[told])
+                n_loose += int(told.sum())
+                if n_loose > 2_000_000:
+                    held_keys, held_counts = merged()
+                    loose, n_loose = [], 0
+        held_keys, held_counts = merged()
+        yield pd.DataFrame({"a": held_keys // size, "b": held_keys % size, "n": held_counts})
 
     pairs = bags.select("ids", "sentence").mapInPandas(gather, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3").toPandas()  # at most MAX_GROUPED squared a language
-    a, b = picked[pairs["a"].to_numpy(int)], picked[pairs["b"].to_numpy(int)]
-    same = home[a] == home[b]
-    a, b, n = a[same], b[same], pairs["n"].to_numpy(float)[same]
+    a, b, n = picked[pairs["a"].to_numpy(int)], picked[pairs["b"].to_numpy(int)], pairs["n"].to_numpy(float)
     lift = n * np.array(docs_in, dtype=float)[home[a]] / (own[a] * own[b])
     near: dict[int, dict[int, float]] = {}
     for x, y, v in zip(np.r_[a, b].tolist(), np.r_[b, a].tolist(), np.r_[lift, lift].tolist()):
