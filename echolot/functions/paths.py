@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,18 +15,20 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is computed once a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slashed(path: Column | str) -> Column:
     """'/' as the only separator, runs collapsed (but for the two that begin a network path), none at the end."""
-    text = F.translate(_col(path), "\\", "/")
-    body = F.regexp_replace(text, "/+", "/")
-    joined = F.when(text.startswith("//"), F.concat(F.lit("/"), body)).otherwise(body)
-    return F.when(joined.rlike("^/+$"), joined.substr(1, 1)).otherwise(F.regexp_replace(joined, "/+$", ""))
+    text = F.regexp_replace(F.translate(_col(path), "\\", "/"), "(?<=.)/+", "/")
+    return F.regexp_replace(F.regexp_replace(text, "(?<=[^/])/+$", ""), "^//$", "/")
 
 
 def path_key(path: Column | str) -> Column:
     """Key for comparisons: slashed, in lower case for drive and network paths."""
-    text = slashed(path)
-    return F.when(text.rlike("^([A-Za-z]:|//)"), F.lower(text)).otherwise(text)
+    return F.when(_col(path).rlike(r"^([A-Za-z]:|[\\/]{2}.)"), F.lower(slashed(path))).otherwise(slashed(path))
 
 
 def in_scope(path: Column | str, root: Column | str) -> Column:
@@ -58,11 +62,19 @@ def stem(name: Column | str) -> Column:
     return F.substring(base, F.lit(1), F.length(base) - F.length(suffix(base)))
 
 
+def folders_above(text: Column) -> Column:
+    """Array of all folders above a slashed path or path key, outermost first, without the empty root."""
+
+    def made(parts: Column) -> Column:
+        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        return F.when(F.size(parts) > 1, F.filter(heads, lambda x: ~x.isin("", "/"))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(text, "/"), made)
+
+
 def ancestors(path: Column | str) -> Column:
-    """Array of all folders above a path, outermost first, without the empty root."""
-    parts = F.split(path_key(path), "/")
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return F.when(F.size(parts) > 1, F.filter(made, lambda x: ~x.isin("", "/"))).otherwise(F.array().cast("array<string>"))
+    """Array of the keys of all folders above a path, outermost first, without the empty root."""
+    return folders_above(path_key(path))
 
 
 def is_ancestor(a: Column, b: Column) -> Column:

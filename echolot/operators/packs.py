@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import cut
 
 #: A content held by more folders than this opens no folder pair by itself; it still counts in pairs others open.
 FAN_OUT = 25
@@ -53,8 +54,8 @@ def overlaps(files: DataFrame, min_files: int = 2, threshold: float = 0.95, fan_
     measured over all contents.  A folder and its ancestor are no pair, nor are exact
     copies.
     """
-    parts = contents(files)
-    kept = deepest(folders(parts, min_files))
+    parts = cut(contents(files))  # used four times
+    kept = cut(deepest(folders(parts, min_files)))
     held = parts.join(kept.select("folder"), "folder")
     spread = held.groupBy("md5").agg(F.count("*").alias("_f"))
     opening = held.join(spread.where((F.col("_f") > 1) & (F.col("_f") <= fan_out)), "md5").select("md5", "folder")

@@ -244,12 +244,19 @@ def _rename_sql(new: str) -> str:
     SELECT id, source, target, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.ck = k.ck AND t.id <> k.id) OR min(id) OVER (PARTITION BY ck) < id THEN 'conflict' ELSE 'planned' END AS status FROM k"""
 
 
+def _letters(c: str) -> str:
+    """Letters whose capitals are several, written out (DuckDB's upper maps one to one)."""
+    for a, b in (("ß", "SS"), ("ﬀ", "FF"), ("ﬁ", "FI"), ("ﬂ", "FL"), ("ﬃ", "FFI"), ("ﬄ", "FFL")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
 _SAFE = "regexp_replace(trim(regexp_replace(n, '[:*?\"<>|]+', '_', 'g')), '_+', '_', 'g')"
 _UPPER = f"""regexp_replace(regexp_replace(regexp_replace({R.stem('n')}, '[:*?"<>|#&;''\\\\!]+', '_', 'g'), '[\\s\\-_]+', '_', 'g'), '^[._ ]+|[._ ]+$', '', 'g')"""
 _RENAMES = {
     "safe": _rename_sql(f"CASE WHEN {_SAFE} IN ('', '.', '..') THEN 'UNTITLED' ELSE {_SAFE} END"),
     "portable": None,
-    "ucs": _rename_sql(f"CASE WHEN regexp_matches(upper({R.stem('n')}), '^([A-Z]{{2,5}})_([A-Z]{{2,8}})(?:_|$)') THEN '' ELSE 'SFX_MISC_' END || coalesce(nullif(upper(replace({_UPPER}, 'ß', 'SS')), ''), 'UNTITLED') || lower({R.suffix('n')})"),
+    "ucs": _rename_sql(f"CASE WHEN regexp_matches(upper({R.stem('n')}), '^([A-Z]{{2,5}})_([A-Z]{{2,8}})(?:_|$)') THEN '' ELSE 'SFX_MISC_' END || coalesce(nullif(upper({_letters(_UPPER)}), ''), 'UNTITLED') || lower({R.suffix('n')})"),
 }
 
 
