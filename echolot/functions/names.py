@@ -24,8 +24,8 @@ PROCESSED_WORDS = (
 # Channel markers at the end of a stem.
 CHANNEL_MARKERS = ("l", "r", "left", "right", "mid", "side", "ms", "mono", "stereo", "ortf", "xy")
 
-_CHANNEL = rf"(?i)^(.*?)[\s._-]+({'|'.join(CHANNEL_MARKERS)})$"
-_NUMBER = r"(?i)^(.*?)(?:[\s._-]*(?:take|tk))?[\s._-]*?(\d{1,4})$"
+_CHANNEL = rf"(?i)[\s._-]+({'|'.join(CHANNEL_MARKERS)})$"
+_NUMBER = r"(?i)(?:[\s._-]*(?:take|tk))?[\s._-]*(\d{1,4})$"
 _UCS = r"^([A-Z]{2,5})_([A-Z]{2,8})(?:_([\s\S]*)|$)"
 
 
@@ -48,16 +48,15 @@ def related(stem: Column) -> Column:
     stands before must hold three letters.  The key has its separators as one blank, in
     lower case.
     """
-    channel_base = _trimmed(F.regexp_extract(stem, _CHANNEL, 1))
-    number_base = _trimmed(F.regexp_extract(stem, _NUMBER, 1))
-    number_base = _trimmed(F.regexp_replace(number_base, r"(?i)[\s._-]+(?:take|tk)$", ""))
+    channel_base = _trimmed(F.regexp_replace(stem, _CHANNEL, ""))
+    number_base = _trimmed(F.regexp_replace(stem, _NUMBER, ""))
 
     def made(base: Column, marker: Column, reason: str) -> Column:
         key = F.lower(F.trim(F.regexp_replace(base, r"[\s._-]+", " ")))
         return F.struct(key.alias("key"), marker.alias("marker"), F.lit(reason).alias("reason"))
 
-    return F.when(stem.rlike(_CHANNEL) & _letters(channel_base), made(channel_base, F.upper(F.regexp_extract(stem, _CHANNEL, 2)), "channel_set")).when(
-        stem.rlike(_NUMBER) & _letters(number_base), made(number_base, F.regexp_extract(stem, _NUMBER, 2), "numbered_sequence")
+    return F.when(stem.rlike(_CHANNEL) & _letters(channel_base), made(channel_base, F.upper(F.regexp_extract(stem, _CHANNEL, 1)), "channel_set")).when(
+        stem.rlike(_NUMBER) & _letters(number_base), made(number_base, F.regexp_extract(stem, _NUMBER, 1), "numbered_sequence")
     )
 
 
