@@ -50,7 +50,7 @@ _TAGS = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _WRAPPED = re.compile(r"\r?\n[ \t]{2,}(?=\S)")
 _BREAKS = re.compile(r"(?<=[.?!…])[\"')\]*]*\s+|[\r\n]+")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
-_DAMAGED = re.compile("[ÃÂ][\u0080-¿Œ-Ÿ‘-™]")
+_DAMAGED = re.compile("[ÃÂ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 
 def repaired(text: str) -> str:

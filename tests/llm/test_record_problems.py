@@ -235,7 +235,7 @@ def test_labels_and_tokens(spark):
 
 def test_sentences():
     assert topics.sentences("One two. Three four?\n<p>Five six</p> 7 8\n    go on here\nNext line") == [["one", "two"], ["three", "four"], ["five", "six"], ["go", "on", "here"], ["next", "line"]]
-    assert topics.sentences("") == [] and topics.sentences("schÃ¶n") == [["schön"]]
+    assert topics.sentences("") == [] and topics.sentences("schÃ¶n") == [["schön"]] and topics.repaired("Ã–l Ãœber Ã‰tÃ© StraÃŸe Â°") == "Öl Über Été Straße °"
 
 
 def test_topics_on_planted_subjects(spark):
