@@ -25,8 +25,8 @@ def with_consistent_form(df: DataFrame, text_col: str, out_col: str = "consisten
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, case: str = "keep") -> DataFrame:
     """(id_a, id_b) of rows whose texts differ as stored but have one consistent form, id_a < id_b.
 
-    Rows with NULL text or id take no part; texts equal as stored are no pair (repeated
-    rows therefore give none); an empty table gives an empty result.  One shuffle on the
+    Rows with NULL text or id take no part; texts equal as stored are no pair, a pair
+    comes once (repeated rows add nothing); an empty table gives an empty result.  One shuffle on the
     form, reused for both sides of the equi-join; AQE splits skewed forms.  The number of
     rows is that of the pairs asked for; ``lookalike_classes`` is the linear form.
     """
@@ -34,7 +34,7 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, case: str = "keep
     rows = rows.withColumn("form", consistent_col("text", case))
     a = rows.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"), "form")
     b = rows.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"), "form")
-    return a.join(b, "form").where("id_a < id_b AND text_a <> text_b").select("id_a", "id_b")
+    return a.join(b, "form").where("id_a < id_b AND text_a <> text_b").select("id_a", "id_b").distinct()
 
 
 def lookalike_classes(df: DataFrame, id_col: str, text_col: str, case: str = "keep") -> DataFrame:

@@ -106,7 +106,8 @@ def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFram
     Documents without tokens, with a NULL id or with a first level that has no target take
     no part; NULL in further levels is a level value of its own.  A larger total than the
     sources can give is met as far as possible.  A source with a target and no documents
-    leaves its share to the others.  Empty tables give an empty result.
+    leaves its share to the others.  Of rows with one id that with the most tokens counts.
+    Empty tables give an empty result.
 
     One aggregation finds what each leaf holds (a bounded table on the driver).  The
     prefix of a leaf needs no sort of the leaf: sums over 4,096 ranges of the seeded hash
@@ -115,7 +116,8 @@ def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFram
     """
     top = levels[0]
     goal = targets.where(f"{top} IS NOT NULL AND target_share > 0 AND max_repeats > 0").select(top, "target_share", "max_repeats").dropDuplicates([top])
-    rows = docs.where(F.col(id_col).isNotNull() & (F.col("tokens") > 0)).select(id_col, *levels, "tokens").join(F.broadcast(goal), top)  # one row per source
+    held = docs.where(F.col(id_col).isNotNull() & (F.col("tokens") > 0)).groupBy(id_col).agg(F.max(F.struct("tokens", *levels)).alias("_b"))
+    rows = held.select(id_col, *[F.col(f"_b.{c}").alias(c) for c in levels], F.col("_b.tokens").alias("tokens")).join(F.broadcast(goal), top)  # one row per source
     rows = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels[1:]})
     held = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats"), F.max("target_share").alias("target_share")).limit(MAX_LEAVES + 1).collect()
     if len(held) > MAX_LEAVES:

@@ -439,4 +439,5 @@ def assigned(model: Fitted, least_sentences: int = 2, least_words: float = 0.8,
                     out += [(names[d], subjects[s], int(held[s]), float(part[s])) for s in np.flatnonzero(held >= least_sentences)]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "proportion"])
 
-    return model.bags.mapInPandas(label, schema)
+    # an id stored twice comes once
+    return model.bags.mapInPandas(label, schema).groupBy("doc_id", "subject").agg(F.max("sentences").alias("sentences"), F.max("proportion").alias("proportion"))

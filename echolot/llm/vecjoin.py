@@ -161,6 +161,8 @@ def _tiled(queries: DataFrame, index: DataFrame, dims: int, k: int, cap: float)
     both = cut(queries, "q_parts", "x_parts", True).unionByName(cut(index, "x_parts", "q_parts", False))
 
     def multiply(tile: pd.DataFrame) -> pd.DataFrame:
+        # a row stored twice has one tile; it counts once
+        tile = tile[~tile.duplicated(["is_query", "id"])]
         asks = tile["is_query"].to_numpy(bool)
         codes = pd.factorize(tile["grp"])[0]
         x, ids = tile[xs].to_numpy(float), tile["id"].to_numpy()
@@ -199,7 +201,7 @@ def nearest(df: DataFrame, id_col: str, vector: list[Column], k: int, group_col:
 
     same = Window.partitionBy(*xs, "grp").orderBy("id")
     alike = Window.partitionBy(*xs).orderBy("id")
-    index = points.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= 2 * k + 1)
+    index = points.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).withColumn("n", F.dense_rank().over(alike)).where(F.col("n") <= 2 * k + 1)
     index = _blocked(index, tree, dims, F.lit(0.0))
     asking = points.where("asks")
     if max_distance is not None:

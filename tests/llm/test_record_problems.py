@@ -86,7 +86,7 @@ def test_folder_rank(spark, literal, monkeypatch):
 
 
 def brute(rows, k, cap=math.inf, asks=lambda i: True):
-    ok = [(i, g, np.array(v)) for i, g, v in rows if all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ok = [(i, g, np.array(v)) for i, g, v in {r[0]: r for r in rows}.values() if all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, g, v in ok:
         if asks(i):
@@ -102,6 +102,7 @@ def test_neighbours_match_brute_force(spark, cap, monkeypatch):
     rng = random.Random(6)
     rows = [(i, rng.choice([1, 1, 1, 2, 3, 4, None]), [round(rng.random(), 2) for _ in range(3)]) for i in range(260)]
     rows += [(300 + i, i % 3, [0.5, 0.5, 0.5]) for i in range(60)]  # one vector many times
+    rows += rows[:40]  # stored twice
     rows += [(400, 1, [None, 1.0, 1.0]), (401, 1, [float("nan"), 1.0, 1.0]), (402, 1, [float("inf"), 1.0, 1.0]), (403, 1, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, g, *v, 1, 2) for i, g, v in rows], "id long, f long, a double, b double, c double, grp int, x0 int")
     found = vecjoin.nearest(df, "id", [F.col("a"), F.col("b"), F.col("c")], 4, "f", max_distance=cap).collect()
@@ -216,7 +217,7 @@ def test_mixture_meets_shares_and_caps(spark):
     assert used["big"] / sum(used.values()) == pytest.approx(0.7, abs=0.01)
     assert max(r["times"] for r in rows if r["source"] == "big") == 1 and max(r["times"] for r in rows if r["source"] == "small") <= 3
     assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["tokens"] > 0 for r in rows)
-    again = mixture.mixed(df.repartition(7), "doc_id", ["source", "lang"], targets).collect()
+    again = mixture.mixed(df.unionByName(df.limit(500)).repartition(7), "doc_id", ["source", "lang"], targets).collect()
     assert sorted((r["doc_id"], r["times"]) for r in rows) == sorted((r["doc_id"], r["times"]) for r in again)
     report = {r["source"]: r for r in mixture.shares(mixture.mixed(df, "doc_id", ["source", "lang"], targets, 5000), df, targets, "source").collect()}
     assert report["big"]["tokens_used"] == pytest.approx(3500, abs=60) and report["absent"]["tokens_used"] == 0
@@ -258,9 +259,12 @@ def test_topics_on_planted_subjects(spark):
         truth |= {(i, s) for s in main}
     docs += [(900, None, "en"), (901, "  ", None), (902, "", "en"), (903, "We heard nothing more about all this. " * 20_000 + sentence("sea") + sentence("sea"), "en")]
     truth.add((903, "sea"))
+    docs += docs[:50]  # stored twice
     examples = [(s, " ".join(f"see the {w}." for w in ws[:6])) for s, ws in subjects.items()] + [(None, "x"), ("sea", None)]
     model = topics.fit(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, terms int"), "doc_id", "text", F.col("lang"), spark.createDataFrame(examples, "subject string, text string"))
-    got = {(r["doc_id"], r["subject"]) for r in topics.assigned(model).collect()}
+    found = topics.assigned(model).collect()
+    got = {(r["doc_id"], r["subject"]) for r in found}
+    assert len(found) == len(got)
     assert len(got & truth) / len(got) > 0.97 and len(got & truth) / len(truth) > 0.97
     assert {s for s, _ in model.topics if s} == set(subjects)
 
