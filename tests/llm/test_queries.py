@@ -29,3 +29,22 @@ def test_lookalikes_of_real_paths(spark, sf):
     t = pq.read_table(os.path.join(sf, "files.parquet"), columns=["id", "path"]).to_pylist()
     want = {tuple(sorted((a["id"], b["id"]))) for a, b in itertools.combinations([r | {"f": consistent(r["path"])} for r in t], 2) if a["f"] == b["f"] and a["path"] != b["path"]}
     assert {tuple(r) for r in QUERIES["p2_found"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("name,table,columns", [
+    ("p1_found", "files", {"id", "path", "size_bytes", "mtime", "md5", "metadata_sources", "scanned_at"}), ("p2_found", "files", {"id", "path"}), ("p6_found", "accepted_tags", {"id", "file_id", "field", "value"}),
+])
+def test_scans_read_only_what_is_needed(spark, sf, name, table, columns):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else schemas are cut off in the plan's text
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if f"{table}.parquet" in line and "ReadSchema" in line]
+    assert scans
+    for line in scans:
+        read = {f.split(":")[0] for f in line.split("ReadSchema: struct<")[1].split(">")[0].split(",")}
+        assert read <= columns
+    assert "CartesianProduct" not in plan
+
+
+def test_survivors_need_no_window(spark, sf):
+    plan = QUERIES["p1_found"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
