@@ -4,12 +4,15 @@ Rare n-gram seeds join corpus documents to test items: of each window of
 ``min_run`` words of an item the n-gram that fewest documents hold is a seed, so
 every run of that length holds at least one.  Documents and items that share a
 seed are aligned word by word (Smith-Waterman), which also scores edited copies.
+Copies edited too evenly to keep a seed are found by upper bounds of that score,
+which no pair above the wanted share can miss.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,8 @@ from .textform import folded
 SEED_WORDS = 6
 #: Distinct item n-grams that are sent to every task (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_GRAMS = 2_000_000
+#: About as many item words are sent to every task; more are sent one part of the items after another.
+MAX_BROADCAST_WORDS = 2_000_000
 #: Smith-Waterman scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -76,17 +81,90 @@ def alignment(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return longest, best
 
 
-def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, min_run: int = 12, seed_words: int = SEED_WORDS) -> DataFrame:
+class Passages:
+    """Items as word counts, to find those that a text may hold with at least min_share of their score."""
+
+    def __init__(self, items: list[list[str]], min_share: float) -> None:
+        self.codes: dict[str, int] = {}
+        self.items = [np.array([self.codes.setdefault(w, len(self.codes)) for w in words], dtype=np.int64) for words in items]
+        self.least = np.array([min_share * MATCH * len(i) - 1e-9 for i in self.items])
+        counted = [np.unique(i, return_counts=True) for i in self.items]
+        words = np.concatenate([w for w, _ in counted]) if counted else np.zeros(0, dtype=np.int64)
+        order = np.argsort(words, kind="stable")
+        self.holder = np.repeat(np.arange(len(counted)), [len(w) for w, _ in counted])[order]
+        self.times = np.concatenate([n for _, n in counted])[order] if counted else words
+        self.starts = np.searchsorted(words[order], np.arange(len(self.codes) + 1))
+
+    def near(self, words: list[str]) -> list[int]:
+        """Every item whose alignment with the text scores at least min_share, and few others.
+
+        A score is at most MATCH for each word in common, and at most the best stretch of
+        the text (or of the item) where a word in common counts MATCH and any other costs
+        the cheaper of a mismatch and a gap.
+        """
+        text = np.array([self.codes.get(w, -1) for w in words], dtype=np.int64)
+        held, n = np.unique(text[text >= 0], return_counts=True)
+        if not len(held):
+            return []
+        spans = [slice(self.starts[w], self.starts[w + 1]) for w in held]
+        holder = np.concatenate([self.holder[s] for s in spans])
+        common = np.concatenate([np.minimum(self.times[s], k) for s, k in zip(spans, n)])
+        shared = np.bincount(holder, common, len(self.items))
+        found = np.flatnonzero(MATCH * shared >= self.least)
+        return [int(i) for i in found if best_stretch(np.isin(text, self.items[i])) >= self.least[i] and best_stretch(np.isin(self.items[i], held)) >= self.least[i]]
+
+
+def best_stretch(common: np.ndarray) -> int:
+    """Largest sum of consecutive positions, MATCH where true and the least penalty elsewhere."""
+    sums = np.concatenate(([0], np.cumsum(np.where(common, MATCH, max(MISMATCH, GAP)))))
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
+def near_pairs(doc: DataFrame, item: DataFrame, min_share: float, least_words: int) -> DataFrame:
+    """(doc_id, item_id) of every pair whose alignment can be worth min_share of the item; items of fewer than least_words words left out.
+
+    doc (doc_id, text), item (item_id, text).  Each text is compared with all items that it
+    shares words with, whatever other documents hold.
+    """
+    if not 0 < min_share <= 1:
+        raise ValueError("min_share must be above 0 and at most 1")
+    schema = f"doc_id {dict(doc.dtypes)['doc_id']}, item_id {dict(item.dtypes)['item_id']}"
+    size = item.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    parts = -(-size // MAX_BROADCAST_WORDS) or 1
+
+    def part(k: int) -> DataFrame:
+        rows = item.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # bounded
+        split = [(r["item_id"], words) for r in rows if len(words := words_of(r["text"])) >= least_words]
+        sent = doc.sparkSession.sparkContext.broadcast(split)
+
+        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids = [i for i, _ in sent.value]
+            passages = Passages([w for _, w in sent.value], min_share)
+            for batch in batches:
+                pairs = [(d, ids[i]) for d, text in zip(batch["doc_id"], batch["text"]) for i in passages.near(words_of(text))]
+                if pairs:
+                    yield pd.DataFrame(pairs, columns=["doc_id", "item_id"])
+
+        return doc.mapInPandas(found, schema)
+
+    return reduce(DataFrame.unionByName, [part(k) for k in range(parts)])
+
+
+def leaks(
+    docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, min_run: int = 12, seed_words: int = SEED_WORDS, min_share: float | None = None
+) -> DataFrame:
     """(doc_id, item_id, longest_run, score, share): documents and the items they share a seed with.
 
     longest_run: most consecutive words in common.  score: Smith-Waterman; share: score by
-    that of the whole item.  Every pair with a run of min_run words is among the rows;
-    items shorter than that are matched in whole (min_run is then their length), items
-    of fewer than seed_words words not at all.
+    that of the whole item.  Every pair with a run of min_run words is among the rows, and
+    with min_share every pair of at least that share; items shorter than min_run are
+    matched in whole (min_run is then their length), items of fewer than seed_words words
+    not at all.
 
     NULL or blank texts share nothing.  Rows stored twice give one row; where an id holds
     several texts the best counts.  Empty tables give an empty result.  Whole texts are
-    read once to find the item n-grams in them, and once more for candidates only.
+    read once to find the item n-grams in them, once with min_share to bound their scores
+    (for each MAX_BROADCAST_WORDS item words), and once more for candidates only.
     """
     n = seed_words
     doc = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
@@ -136,7 +214,10 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     in_windows = counts.withColumn("start", F.explode(starts))
     window = Window.partitionBy("item_id", "start").orderBy("docs", "gram")
     seeds = in_windows.withColumn("n", F.row_number().over(window)).where("n = 1 AND docs > 0").select("item_id", "gram").distinct()
-    pairs = cut(hits.join(seeds, "gram").select("doc_id", "item_id").distinct())
+    pairs = hits.join(seeds, "gram").select("doc_id", "item_id")
+    if min_share is not None:
+        pairs = pairs.unionByName(near_pairs(doc, item, min_share, n))
+    pairs = cut(pairs.distinct())
 
     @F.pandas_udf("longest_run long, score long, share double")
     def aligned(texts: pd.Series, passages: pd.Series) -> pd.DataFrame:

@@ -178,8 +178,8 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- problem 7 -------------------------------------------------------------
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+def _leaks(spark: SparkSession, sf_dir: str, min_share: float | None = None) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage", min_share=min_share)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole, partial and edited copies: a run of 12 words, or an alignment worth at least half the item."""
-    return _leaks(spark, sf_dir).where("longest_run >= 12 OR share >= 0.5").select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
+    return _leaks(spark, sf_dir, min_share=0.5).where("longest_run >= 12 OR share >= 0.5").select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
 
 
 # --- problem 8 -------------------------------------------------------------

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echolot.llm import leakage, mixture, survivor, topics, vecjoin
+from echolot.llm import leakage, mixture, queries, survivor, topics, vecjoin
 
 # --- survivors --------------------------------------------------------------
 
@@ -195,6 +195,31 @@ def test_leaks_of_empty_tables(spark):
     assert leakage.leaks(docs.limit(0), "doc_id", "text", spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, passage string"), "item_id", "passage").count() == 0
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 100])
+def test_evenly_edited_copies_are_scored(spark, tmp_path, bound, monkeypatch):
+    monkeypatch.setattr(leakage, "MAX_BROADCAST_WORDS", bound)
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices([f"w{i}x{n}" for n in range(25)] + ["the", "of", "and"], k=60))) for i in range(6)]
+    docs = [(100, " ".join(rng.choices(["the", "of", "and", "w1x3"], k=90)))]
+    for i, text in items:
+        for step in (2, 3, 4, 5, 6, 10):  # from every sixth word on no run of six is left
+            changed = [f"new{n}" if n % step == step - 1 else w for n, w in enumerate(text.split())]
+            added = [w for n, w in enumerate(text.split()) for w in ([w, "more"] if n % step == step - 1 else [w])]
+            docs += [(1000 + 100 * i + step, "before " + " ".join(changed)), (2000 + 100 * i + step, " ".join(added) + " after")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    want = {}
+    for d, t in docs:
+        for i, p in items:
+            a, b = t.split(), p.split()
+            codes = {w: n for n, w in enumerate(sorted({*a, *b}))}
+            longest, score = leakage.alignment(np.array([codes[w] for w in a]), np.array([codes[w] for w in b]))
+            if longest >= 12 or score >= len(b):
+                want[d, i] = (longest, score)
+    assert (1010, 0) in want and (1003, 0) in want and (1002, 0) not in want
+    assert {(r["doc_id"], r["item_id"]): (r["longest_run"], r["score"]) for r in queries.p7_scores(spark, str(tmp_path)).collect()} == want
+
+
 # --- mixtures ---------------------------------------------------------------
 
 
