@@ -97,12 +97,37 @@ def dashboard(files: DataFrame, tags: DataFrame) -> DataFrame:
     return long(counts).unionByName(long(tagged))
 
 
-def review_queues(files: DataFrame, issues: DataFrame) -> DataFrame:
-    """(queue, id): files waiting in each review queue."""
+def file_queues(files: DataFrame) -> DataFrame:
+    """(queue, id): files waiting in the queues that the file row alone decides."""
     tests = {
         "scan_errors": F.col("scan_error").isNotNull(), "unhashed": F.col("md5").isNull() & F.col("scan_error").isNull(),
         "missing_metadata": (F.col("has_bext") == 0) & (F.col("has_ixml") == 0) & (F.col("has_riff_info") == 0), "unusual_rate": unusual_rate(),
         "not_ucs": F.col("is_ucs") == 0, "mono_or_surround": F.col("channels").isNotNull() & (F.col("channels") != 2),
     }
-    own = files.select("id", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())).alias("queue")).select("queue", "id")
-    return own.unionByName(issues.select(F.lit("name_issues").alias("queue"), "id").distinct())
+    return _queued(files, tests)
+
+
+def _queued(files: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    return files.select("id", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())).alias("queue")).select("queue", "id")
+
+
+def review_queues(files: DataFrame, issues: DataFrame, tags: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(queue, id, n): files waiting in each of the twelve review queues, with the issues, tags or decisions they wait for (1 in other queues).
+
+    Contents count as held twice whether or not a file could be read.  Tags and decisions
+    on unknown files wait for nothing; a decision on two files is one of the left file.
+    """
+    tests = {
+        "scan_errors": F.col("scan_error").isNotNull(), "missing_metadata": (F.col("has_bext") == 0) & (F.col("has_ixml") == 0), "missing_bext": F.col("has_bext") == 0,
+        "missing_ixml": F.col("has_ixml") == 0, "unusual_rates": unusual_rate(), "ucs_named": F.col("is_ucs") == 1,
+    }
+    held = files.where(F.col("md5").isNotNull()).groupBy("md5").agg(F.count("*").alias("copies")).where("copies > 1").select("md5")
+    single = _queued(files, tests).unionByName(files.join(held, "md5", "left_semi").select(F.lit("duplicates").alias("queue"), "id")).withColumn("n", F.lit(1).cast("long"))
+    kinds = {"path_too_long": "long_paths", "unicode_normalization": "unicode_normalization"}
+    named = F.array_compact(F.array(F.lit("filename_issues"), *[F.when(F.col("issue") == i, F.lit(q)) for i, q in kinds.items()]))
+    known = files.select("id")
+    tagged = tags.select(F.lit("db_only_tags").alias("queue"), F.col("file_id").alias("id")).join(known, "id", "left_semi")
+    decided = feedback.select(F.lit("similarity_feedback").alias("queue"), F.col("left_file_id").alias("id"), "right_file_id").join(known, "id", "left_semi")
+    decided = decided.join(known.select(F.col("id").alias("right_file_id")), "right_file_id", "left_semi").select("queue", "id")
+    counted = issues.select(F.explode(named).alias("queue"), "id").unionByName(tagged).unionByName(decided).groupBy("queue", "id").agg(F.count("*").alias("n"))
+    return single.unionByName(counted)

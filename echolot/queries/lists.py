@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,21 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT unnest(list_filter([CASE WHEN scan_error IS NOT NULL THEN 'scan_errors' END, CASE WHEN md5 IS NULL AND scan_error IS NULL THEN 'unhashed' END, CASE WHEN has_bext = 0 AND has_ixml = 0 AND has_riff_info = 0 THEN 'missing_metadata' END,
     CASE WHEN sample_rate NOT IN (44100, 48000, 88200, 96000, 176400, 192000) THEN 'unusual_rate' END, CASE WHEN is_ucs = 0 THEN 'not_ucs' END, CASE WHEN channels <> 2 THEN 'mono_or_surround' END], lambda x: x IS NOT NULL)) AS queue, id FROM files""")
 def review_queues(spark: SparkSession, sf: str) -> DataFrame:
-    """Files in the review queues (without name issues, which are a query of their own)."""
+    """Files in the queues that the file row alone decides; all_review_queues has the whole list."""
+    return audits.file_queues(table(spark, sf, "files"))
+
+
+@query()
+def all_review_queues(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in all twelve review queues; decisions on similar files count where their table is stored."""
     files = table(spark, sf, "files")
-    return audits.review_queues(files, audits.name_issues(files.limit(0)))
+    try:
+        feedback = table(spark, sf, "similarity_feedback")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        feedback = spark.createDataFrame([], schemas.schema("similarity_feedback"))
+    return audits.review_queues(files, audits.name_issues(files), table(spark, sf, "accepted_tags"), feedback)
 
 
 @query("""SELECT id, path FROM files WHERE (contains(lower(path), 'rain') OR contains(lower(filename), 'rain')) AND (contains(lower(path), 'wav') OR contains(lower(filename), 'wav'))""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from echolot.operators import audits, duplicates, layout, packs, search, series, similarity, tags
 from echolot.plans import snapshots
+from echolot.queries.catalog import QUERIES
 
 FILES = "id long, path string, filename string, stem string, extension string, size_bytes long, md5 string, sample_rate int, bit_depth int, channels int, is_ucs int, scan_error string"
 
@@ -70,6 +71,25 @@ def test_name_issues_and_audit(spark):
     assert {r["path"]: r["kind"] for r in audits.junk(found).collect()} == {"/a/_wfCache/x.wav": "junk_folder", "/a/._b.wav": "junk_file"}
 
 
+def test_all_review_queues(spark, tmp_path):
+    long = "/lib/" + "x" * 130 + "/" + "y" * 130 + ".wav"
+    cols = "id long, path string, md5 string, sample_rate int, has_bext int, has_ixml int, has_riff_info int, is_ucs int, channels int, scan_error string"
+    rows = [
+        (1, "/lib/a.wav", "x", 48000, 1, 1, 0, 0, 2, None), (2, "/lib/b.wav", "x", 22050, 0, 0, 1, 1, 1, "broken"), (3, "/lib/cafe\u0301!.wav", None, None, 0, 1, 1, 0, 2, None),
+        (4, long, "y", 44100, 1, 0, 0, None, 2, None), (5, "/lib/c.wav", None, 48000, None, None, None, None, 2, None),
+    ]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(1, "category"), (1, "keyword"), (9, "keyword")], "file_id long, field string").write.parquet(f"{tmp_path}/accepted_tags.parquet")
+    want = {
+        ("scan_errors", 2, 1), ("duplicates", 1, 1), ("duplicates", 2, 1), ("missing_metadata", 2, 1), ("missing_bext", 2, 1), ("missing_bext", 3, 1), ("missing_ixml", 2, 1), ("missing_ixml", 4, 1),
+        ("unusual_rates", 2, 1), ("ucs_named", 2, 1), ("filename_issues", 3, 3), ("unicode_normalization", 3, 1), ("filename_issues", 4, 1), ("long_paths", 4, 1), ("db_only_tags", 1, 2),
+    }
+    got = lambda: sorted((r["queue"], r["id"], r["n"]) for r in QUERIES["all_review_queues"](spark, str(tmp_path)).collect())
+    assert got() == sorted(want)
+    spark.createDataFrame([(3, 1, "accepted"), (3, 4, "rejected"), (9, 1, "hidden"), (1, 9, "hidden")], "left_file_id long, right_file_id long, state string").write.parquet(f"{tmp_path}/similarity_feedback.parquet")
+    assert got() == sorted(want | {("similarity_feedback", 3, 2)})
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
