@@ -177,5 +177,5 @@ def embed_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT f.id, {R.parent('f.path')} AS folder, count(t.id) AS n FROM files f JOIN accepted_tags t ON t.file_id = f.id WHERE lower(trim(t.field)) = 'category' GROUP BY ALL")
 def tagged_folders(spark: SparkSession, sf: str) -> DataFrame:
     """Files with a category, by folder."""
-    t = table(spark, sf, "accepted_tags").where(values.canonical_field(F.col("field")) == "category").where("lower(trim(field)) = 'category'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
+    t = table(spark, sf, "accepted_tags").where(values.canonical_field(F.col("field")) == "category").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
     return table(spark, sf, "files").join(t, "id").select("id", paths.parent("path").alias("folder"), "n")

@@ -90,6 +90,13 @@ def test_all_review_queues(spark, tmp_path):
     assert got() == sorted(want | {("similarity_feedback", 3, 2)})
 
 
+def test_tagged_folders_know_other_names_of_category(spark, tmp_path):
+    spark.createDataFrame([(i, f"/lib/{i}.wav") for i in range(1, 5)], "id long, path string").write.parquet(f"{tmp_path}/files.parquet")
+    tags = [(1, "category"), (1, " Genre"), (2, "IGNR"), (3, "subcategory"), (4, None)]
+    spark.createDataFrame(tags, "file_id long, field string").write.parquet(f"{tmp_path}/accepted_tags.parquet")
+    assert sorted(tuple(r) for r in QUERIES["tagged_folders"](spark, str(tmp_path)).collect()) == [(1, "/lib", 2), (2, "/lib", 1)]
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
