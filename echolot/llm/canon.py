@@ -9,6 +9,7 @@ tier 2  the same when repeated letters count once
 tier 3  the name without its vowels
 tier 4  the beginning of a name (an abbreviation)
 tier 5  within an edit distance that grows with the length
+tier 6  the longest name whose words stand whole in the value, whatever other words are there
 
 Tier 5 walks a BK-tree under the Damerau-Levenshtein distance (the unrestricted one,
 a true metric): whole batches of values go down the tree together, and the triangle
@@ -162,6 +163,21 @@ class Reference:
             found |= self.exact[name]
         return found
 
+    def inside(self, plain: str) -> tuple[int, set[str]]:
+        """(letters beside it, entries) of the longest name made of whole words of a spaced form that follow each other; a name said over and over fits nothing."""
+        words, best, met = plain.split(), 0, []
+        for i in range(len(words)):
+            joined = ""
+            for w in words[i:]:
+                joined += w
+                if len(joined) > self.longest:
+                    break
+                if len(joined) >= best and joined in self.exact:
+                    met = [*met, joined] if len(joined) == best else [joined]
+                    best = len(joined)
+        entries = set().union(*map(self.exact.__getitem__, met)) if len(set(met)) == len(met) else set()
+        return len(plain.replace(" ", "")) - best, entries
+
     def winners(self, values: list[str]) -> pd.DataFrame:
         """(plain, tier, distance, least, greatest): the best reading of each spaced form, with its first and last entry."""
         rows, open_ = [], []
@@ -189,6 +205,12 @@ class Reference:
                     elif d == best[i][0]:
                         best[i][1].update(self.exact[name])
             rows += [(open_[i][0], 5, d, min(found), max(found)) for i, (d, found) in best.items()]
+        done = {r[0] for r in rows}
+        for plain in values:
+            if plain not in done:
+                beside, found = self.inside(plain)
+                if found:
+                    rows.append((plain, 6, beside, min(found), max(found)))
         return pd.DataFrame(rows, columns=["plain", "tier", "distance", "least", "greatest"])
 
 

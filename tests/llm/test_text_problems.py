@@ -176,3 +176,15 @@ def test_hot_group_of_copies(spark):
 
 def test_lowered_keeps_accents_composed():
     assert lowered("E\u0301TÉ") == "été"
+
+
+@pytest.mark.parametrize("bound", [50_000, 2])
+def test_whole_name_among_other_words(spark, bound, monkeypatch):
+    monkeypatch.setattr(canon, "MAX_BROADCAST_NAMES", bound)
+    names = [("Metal", "METL"), ("Rain", "RAIN"), ("Heavy Rain", "RAINHvy"), ("Snow", "SNOW"), ("Wood", "WOODa"), ("wood", "WOODb")]
+    want = {
+        "some old metal": "METL", "rain take two": "RAIN", "very heavy rain outside": "RAINHvy", "rain or snow outside": canon.NONE, "old wood planks": canon.NONE,
+        "metallic training sounds": canon.NONE, "unknown thing": canon.NONE,
+    }
+    values = spark.createDataFrame([(v,) for v in want], "plain string")
+    assert {r["plain"]: r["entry"] for r in canon.mapped(values, spark.createDataFrame(names, "name string, entry string")).collect()} == want
