@@ -217,8 +217,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- problem 9 -------------------------------------------------------------
 
 
-def _topics(spark: SparkSession, sf_dir: str) -> topics.Fitted:
-    return topics.fit(table(spark, sf_dir, "documents"), "doc_id", "text", mixture.plain_name("lang"), table(spark, sf_dir, "subject_examples"))
+def _topics(spark: SparkSession, sf_dir: str, passes: int = topics.PASSES) -> topics.Fitted:
+    return topics.fit(table(spark, sf_dir, "documents"), "doc_id", "text", mixture.plain_name("lang"), table(spark, sf_dir, "subject_examples"), passes)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,10 +233,15 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.join(found, "subject", "left").na.fill(0, ["documents", "sentences"])
 
 
+def p9_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top terms of each fitted topic and the subject it was mapped to by them, for inspection."""
+    return topics.top_terms(_topics(spark, sf_dir), table(spark, sf_dir, "documents"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours,
-        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p9_found, p9_composition,
+        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p9_found, p9_composition, p9_topics,
     )
 }

@@ -1,56 +1,62 @@
 """Subject area of each document (problem 9).
 
-Latent Dirichlet topics are fitted over all documents by distributed expectation
-maximisation: tasks infer the topic proportions of their documents and send
-expected word counts; the driver holds only the word-topic table.  Labelled
-examples give the topics their prior; the fitted topics are then mapped to
-subjects through their top terms, and a document's subjects are read from the
-topic proportions of the document and of its sentences.
+Latent Dirichlet topics are fitted over all documents by distributed variational
+expectation maximisation.  Every sentence draws one topic from its document's
+proportions and its words from that topic: tasks infer the proportions and send
+expected word counts, the driver holds only the word-topic table.
+
+What a document repeats in several sentences is its matter, what it says in one
+sentence only is manner.  The two kinds of use, counted over all documents, are
+the priors of the topics and of a background topic; labelled examples are added to
+the prior of one topic each.  The fitted topics are mapped to subjects through their
+top terms, and a document's subjects are read from its topic proportions and the
+topics of its sentences.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .textform import folded
 
-#: Terms of the model at most (the word-topic table is broadcast); the most frequent are kept.
-MAX_TERMS = 100_000
-#: Labelled examples read at most; they are fitted on the driver.
+#: Words are hashed into so many term slots, which bounds the word-topic table (and its broadcast) at any size; no word is left out.
+SLOTS = 1 << 20
+#: Labelled examples read at most (the first by hash), with some thousand words each at most they are held on the driver.
 MAX_EXAMPLES = 20_000
-#: Words a line must have to be a sentence and no heading or scrap.
+#: Words a line must have to be a sentence and no heading.
 MIN_SENTENCE = 4
-#: Documents a word, a pair of neighbouring words must be in to be a term.
-MIN_WORD_DOCS, MIN_PAIR_DOCS = 3, 5
-#: A word that so large a share of a language's documents hold is no mark of a subject.
+#: A word that so large a share of a language's documents hold is a stop word of the language.
 COMMON_SHARE = 0.25
-#: Background topics at most, one per frequent language label.
-MAX_BACKGROUND = 6
-PASSES, INNER = 6, 6
-#: A term may belong to a subject from this share of the documents' subject words around it; with the second share it is no background.
-MAY_SHARE, MUST_SHARE = 0.25, 0.4
-#: Rounds in which words found by their company speak for others; documents of doubt in each share.
-ROUNDS, DOUBT = 3, 1.0
-#: Words of a language that are grouped by the documents they share, at most; lift from which two belong together.
-MAX_GROUPED, MIN_LIFT = 1500, 3.0
-#: Prior of subjects and background in a document's proportions; weight of the examples' words.
-ALPHA, ALPHA_BACKGROUND, SEED_WEIGHT, ETA = 0.1, 2.0, 20.0, 0.01
-#: Tokens padded into one batch of inference.
-BATCH_TOKENS = 60_000
-
-_TAGS = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_WRAPPED = re.compile(r"\r?\n[ \t]{2,}(?=\S)")
-_BREAKS = re.compile(r"(?<=[.?!…])[\"')\]*]*\s+|[\r\n]+")
+#: A label is a language if so large a share of the documents, and so many, bear it.
+LANGUAGE_SHARE, LANGUAGE_DOCS = 0.001, 20
+PASSES, INNER = 4, 6
+#: Dirichlet priors of a document's proportions: each topic, the background.
+ALPHA, ALPHA_BACKGROUND = 0.1, 0.1
+#: Prior counts of a topic's words: for each use in an example, and all other words together.
+SEED_WEIGHT, SMOOTH = 3.0, 50.0
+#: Counts, all words together, by which the first word-topic table is held near the corpus: topics, background.
+START, START_BACKGROUND = 200.0, 1000.0
+#: Share of a word's uses that counts as either kind of use besides what was seen.
+EITHER = 0.05
+#: Words whose topics are inferred at once.
+BATCH_WORDS = 400_000
+#: Top terms of a topic that are looked at to name it.
+TOP_TERMS = 40
+
+_TAGS = r"</?[A-Za-z][^<>]{0,200}>"
+_WRAPPED = r"\r?\n[ \t]{2,}(?=\S)"
+_BREAKS = r"(?<=[.?!…])[\"')\]*]*\s+|[\r\n]+"
 _WORDS = re.compile(r"[^\W\d_]{2,}")
-_DAMAGED = re.compile("[ÃÂ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_DAMAGED = re.compile("[ÃÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 
 def repaired(text: str) -> str:
@@ -70,374 +76,279 @@ def repaired(text: str) -> str:
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence: consistent form, case folded, without numbers; lines end sentences unless the next is indented."""
-    text = _WRAPPED.sub(" ", _TAGS.sub("\n", repaired(text)))
-    split = (_WORDS.findall(folded(s)) for s in _BREAKS.split(text))
+    text = re.sub(_WRAPPED, " ", re.sub(_TAGS, "\n", repaired(text)))
+    split = (_WORDS.findall(folded(s)) for s in re.split(_BREAKS, text))
     return [s for s in split if s]
 
 
-def terms_of(words: list[str]) -> list[str]:
-    """Words and pairs of neighbouring words of a sentence."""
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
-
-
-def infer(ids: list[np.ndarray], phi: np.ndarray, alpha: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, padded term ids, mask, responsibilities) in batches of documents of like length."""
-    order = np.argsort([len(x) for x in ids], kind="stable")
-    at = 0
-    while at < len(order):
-        end, width = at, 1
-        while end < len(order) and (end == at or max(width, len(ids[order[end]])) * (end - at + 1) <= BATCH_TOKENS):
-            width = max(width, len(ids[order[end]]))
-            end += 1
-        docs = order[at:end]
-        at = end
-        terms = np.zeros((len(docs), width), dtype=np.int64)
-        mask = np.zeros((len(docs), width), dtype=np.float32)
-        for row, d in enumerate(docs):
-            terms[row, : len(ids[d])] = ids[d]
-            mask[row, : len(ids[d])] = 1
-        words = phi[terms]
-        theta = np.broadcast_to(alpha, (len(docs), len(alpha))).astype(np.float32) + 1
+def sentences_col(text: Column) -> Column:
+    """``sentences`` as a column: plain ASCII in the JVM, other texts by an Arrow function; NULL and '' have none."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    lines = F.split(F.lower(F.regexp_replace(F.regexp_replace(text, _TAGS, "\n"), _WRAPPED, " ")), _BREAKS)
+    words = F.filter(F.transform(lines, lambda s: F.regexp_extract_all(s, F.lit(r"([a-z]{2,})"), F.lit(1))), lambda s: F.size(s) > 0)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def other(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sentences(t) for t in texts], dtype=object)
+
+    return F.when(plain, words).otherwise(other(F.when(~plain, text)))
+
+
+def _slot(word_hash: Column) -> Column:
+    return F.pmod(word_hash, F.lit(SLOTS)).cast("int")
+
+
+def _hashed(text: Column) -> Column:
+    return F.transform(sentences_col(text), lambda s: F.transform(s, lambda w: F.xxhash64(w)))
+
+
+def _bags(hashed: DataFrame, stop: list[int], least: int = MIN_SENTENCE) -> DataFrame:
+    """hashed (..., hashes) with terms (slots of all words but stop words) and sizes (words of each sentence that keeps any) for it."""
+    whole = F.filter("hashes", lambda s: F.size(s) >= least)
+    kept = F.filter(F.transform(whole, lambda s: F.filter(s, lambda h: ~h.isin(stop))) if stop else whole, lambda s: F.size(s) > 0)
+    rows = hashed.withColumn("hashes", kept).where(F.size("hashes") > 0)
+    return rows.select(*[c for c in rows.columns if c != "hashes"], F.transform(F.flatten("hashes"), _slot).alias("terms"), F.transform("hashes", lambda s: F.size(s)).alias("sizes"))
+
+
+def _stop_words(hashed: DataFrame) -> list[int]:
+    """Hashes of the words that COMMON_SHARE of the documents of a language hold.
+
+    Few by their nature: of a language at most the mean number of different words in a
+    document over COMMON_SHARE, and of languages at most 1 / LANGUAGE_SHARE.
+    """
+    rows = hashed.select(F.coalesce("lang", F.lit("")).alias("lang"), F.array_distinct(F.flatten("hashes")).alias("words"))
+    least = F.greatest(F.lit(LANGUAGE_SHARE) * rows.count(), F.lit(float(LANGUAGE_DOCS)))
+    named = rows.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+    counts = rows.select("lang", F.explode("words").alias("h")).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    common = counts.join(named, "lang").where(F.col("n") > COMMON_SHARE * F.col("docs")).select("h").distinct()
+    return [r["h"] for r in common.collect()]  # bounded, see above
+
+
+class Slice:
+    """Some documents of an Arrow batch: slots of their words, words of each sentence, sentences of each document."""
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, first: int):
+        self.terms, self.sizes, self.first = terms, sizes, first
+        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        self.doc_starts = np.concatenate(([0], np.cumsum(per_doc)[:-1])).astype(np.int64)
+        self.doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
+        #: by the logarithm of its sentences, so that one long text does not outweigh the others
+        self.weight = np.log1p(per_doc) / np.maximum(per_doc, 1)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Slice]]:
+    """The documents of Arrow batches with terms and sizes, about BATCH_WORDS words at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, s = batch.column("terms"), batch.column("sizes")
+        terms, sizes = t.flatten().to_numpy(zero_copy_only=False), s.flatten().to_numpy(zero_copy_only=False)
+        t_ends, s_ends = np.cumsum(t.value_lengths().to_numpy(zero_copy_only=False)), np.cumsum(s.value_lengths().to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(t_ends):
+            done, lines = (t_ends[at - 1], s_ends[at - 1]) if at else (0, 0)
+            end = max(at + 1, int(np.searchsorted(t_ends, done + BATCH_WORDS, side="right")))
+            yield batch, Slice(terms[done : t_ends[end - 1]], sizes[lines : s_ends[end - 1]], np.diff(np.concatenate(([lines], s_ends[at:end]))), at)
+            at = end
+
+
+class Model:
+    """Word-topic table over the slots in use, and the prior of a document's proportions."""
+
+    def __init__(self, slots: np.ndarray, phi: np.ndarray, alpha: np.ndarray):
+        self.slots, self.phi, self.alpha = slots, phi, alpha
+        self.log_phi = np.log(np.maximum(phi, 1e-12)).astype(np.float32)
+        self.place = np.zeros(SLOTS, dtype=np.int32)
+        self.place[slots] = np.arange(len(slots))
+
+    def infer(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(sentences by topics: probability; documents by topics: expected sentences)."""
+        rows = self.place[part.terms]
+        like = np.zeros((len(part.sizes), len(self.alpha)), dtype=np.float32)
+        for a in range(0, len(rows), BATCH_WORDS):  # one document may be long
+            b = min(a + BATCH_WORDS, len(rows))
+            first, last = np.searchsorted(part.starts, [a, b - 1], side="right") - 1
+            like[first : last + 1] += np.add.reduceat(self.log_phi[rows[a:b]], np.maximum(part.starts[first : last + 1], a) - a, axis=0)
+        like -= like.max(axis=1, keepdims=True)
+        theta = np.ones((len(part.doc_starts), len(self.alpha)), dtype=np.float32)
         for _ in range(INNER):
-            weight = mask / (np.matmul(words, theta[:, :, None])[:, :, 0] + 1e-30)
-            theta = alpha + theta * np.matmul(weight[:, None, :], words)[:, 0, :]
-        words *= theta[:, None, :]
-        words *= (mask / (words.sum(axis=2) + 1e-30))[:, :, None]
-        yield docs, terms, mask, words
-
-
-def _tokenized(docs: DataFrame) -> DataFrame:
-    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            terms, at = [], []
-            for text in batch["text"]:
-                split = [terms_of(s) for s in sentences(text) if len(s) >= MIN_SENTENCE]
-                terms.append([t for s in split for t in s])
-                at.append([n for n, s in enumerate(split) for _ in s])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "terms": terms, "sentence": at})
-
-    return docs.mapInPandas(tokenize, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, terms array<string>, sentence array<int>")
-
-
-def _seeds(examples: list[tuple[str, str]], index: dict[str, int], subjects: list[str], barred: set[str]) -> np.ndarray:
-    """Terms by subjects: how often the examples of a subject hold a term that few other subjects' examples hold."""
-    counts = np.zeros((len(index), len(subjects)))
-    for subject, text in examples:
-        for sentence in sentences(text):
-            for term in terms_of(sentence):
-                if term in index and term not in barred:
-                    counts[index[term], subjects.index(subject)] += 1
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    return np.where(share >= 0.6, counts, 0)
-
-
-def _top_term_subjects(phi: np.ndarray, frequency: np.ndarray, seeds: np.ndarray, terms: list[str], subjects: list[str], top: int = 40) -> list[tuple[str | None, list[str]]]:
-    """For each topic its subject, by the examples' use of its top terms, and these terms; None: background."""
-    found = []
-    by_term = seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1e-9)
-    for k in range(phi.shape[1]):
-        lift = phi[:, k] * np.log(np.maximum(phi[:, k], 1e-12) / np.maximum(frequency, 1e-12))
-        best = np.argsort(-lift, kind="stable")[:top]
-        votes = (by_term[best] * np.maximum(lift[best], 0)[:, None]).sum(axis=0)
-        sure = votes.sum() > 0 and votes.max() >= 0.5 * votes.sum() and (seeds[best].sum(axis=1) > 0).sum() >= 3
-        found.append((subjects[int(votes.argmax())] if sure else None, [terms[i] for i in best]))
+            q = like + np.log(theta)[part.doc_of]
+            np.exp(q - q.max(axis=1, keepdims=True), out=q)
+            q /= q.sum(axis=1, keepdims=True)
+            held = np.add.reduceat(q, part.doc_starts, axis=0)
+            theta = held + self.alpha
+        return q, held
+
+
+def _summed(bags: DataFrame, names: list[str], gather) -> pd.DataFrame:
+    """Sums over all documents by slot: gather adds to a table by slots for each slice; a row per slot in use comes back."""
+    fields = [("slot", pa.int32()), *[(n, pa.float64()) for n in names]]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        add = gather()
+        for _, part in slices(batches):
+            for slot_rows, table in add(part):
+                for k in range(table.shape[1]):
+                    column = total.setdefault(k, np.zeros(SLOTS))
+                    column[slot_rows] += table[:, k]
+        if total:
+            used = np.flatnonzero(sum(np.abs(c) for c in total.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[k][used]) for k in range(len(names))]], schema=pa.schema(fields))
+
+    parts = bags.select("terms", "sizes").mapInArrow(partial, ", ".join(["slot int", *[f"{n} double" for n in names]]))
+    return parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).orderBy("slot").toPandas()  # at most SLOTS rows
+
+
+def _documents() -> object:
+    """Documents that hold a slot's words in one sentence, and in several."""
+
+    def add(part: Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sentence = np.repeat(np.arange(len(part.sizes)), part.sizes)
+        held = np.unique(sentence * SLOTS + part.terms)
+        pairs, n = np.unique(part.doc_of[held // SLOTS] * SLOTS + held % SLOTS, return_counts=True)
+        slot, back = np.unique(pairs % SLOTS, return_inverse=True)
+        yield slot, np.stack([np.bincount(back, n == 1, len(slot)), np.bincount(back, n > 1, len(slot))], axis=1)
+
+    return add
+
+
+def top_rows(phi: np.ndarray, frequency: np.ndarray, top: int = TOP_TERMS) -> np.ndarray:
+    """Topics by rows of the terms that tell most of each: its use of a term by the logarithm of how much more it uses it than the corpus."""
+    lift = phi * np.log(np.maximum(phi, 1e-12) / np.maximum(frequency, 1e-12)[:, None])
+    return np.argsort(-lift, axis=0, kind="stable")[:top].T
+
+
+def topic_subjects(phi: np.ndarray, frequency: np.ndarray, seeds: np.ndarray, subjects: list[str]) -> list[str | None]:
+    """The subject of each topic by the examples' use of its top terms; None (background) if fewer than three of them are in examples or no subject has half of the use."""
+    share = seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1e-9)
+    found: list[str | None] = []
+    for k, rows in enumerate(top_rows(phi, frequency)):
+        weight = phi[rows, k] * np.log(np.maximum(phi[rows, k], 1e-12) / np.maximum(frequency[rows], 1e-12))
+        votes = (share[rows] * np.maximum(weight, 0)[:, None]).sum(axis=0)
+        sure = len(subjects) and votes.sum() > 0 and votes.max() >= 0.5 * votes.sum() and (share[rows].sum(axis=1) > 0).sum() >= 3
+        found.append(subjects[int(votes.argmax())] if sure else None)
     return found
 
 
 class Fitted:
-    """A fitted model: tokenized documents (term ids, sentences), word-topic table, subject of each topic."""
+    """A fitted model: the documents as bags, the model, subject of each topic, frequency of each slot in use."""
 
-    def __init__(self, bags: DataFrame, terms: list[str], phi: np.ndarray, alpha: np.ndarray, topics: list[tuple[str | None, list[str]]]):
-        self.bags, self.terms, self.phi, self.alpha, self.topics = bags, terms, phi, alpha, topics
+    def __init__(self, bags: DataFrame, model: Model, topics: list[str | None], frequency: np.ndarray):
+        self.bags, self.model, self.topics, self.frequency = bags, model, topics, frequency
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang: Column, examples: DataFrame, passes: int = PASSES) -> Fitted:
     """Fit topics over all documents.
 
-    examples: (subject, text), at most MAX_EXAMPLES rows are read.  NULL and blank texts
-    hold no term.  Terms are counted over all documents.
-    """
-    source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.cast("string").alias("lang"))
-    spark = docs.sparkSession
-    tokens = cut(_tokenized(source).where(F.size("terms") > 0))
-    per_lang = tokens.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_BACKGROUND).collect()
-    counts = tokens.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.array_distinct("terms")).alias("term")).groupBy("term", "lang").count()
-    named = [r["lang"] for r in per_lang if r["count"] >= max(5, 0.01 * sum(x["count"] for x in per_lang))]
-    docs_in = {r["lang"]: r["count"] for r in per_lang}
-    least = F.when(F.col("term").contains(" "), MIN_PAIR_DOCS).otherwise(MIN_WORD_DOCS)
-    wide = counts.groupBy("term").agg(F.sum("count").alias("docs"), *[F.sum(F.when(F.col("lang") == n, F.col("count")).otherwise(0)).alias(f"l{i}") for i, n in enumerate(named)])
-    vocabulary = wide.where(F.col("docs") >= least).orderBy(F.desc("docs"), "term").limit(MAX_TERMS).toPandas()  # bounded
-    terms = vocabulary["term"].tolist()
-    index = {t: i for i, t in enumerate(terms)}
-    table = vocabulary[[f"l{i}" for i in range(len(named))]].to_numpy(float).reshape(len(terms), len(named))
-    shares = table / np.array([max(docs_in[n], 1) for n in named]) if named else table
-    barred = {t for t, s in zip(terms, shares.max(axis=1, initial=0)) if s > COMMON_SHARE}
-    rows = [(r["subject"], r["text"]) for r in examples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text").limit(MAX_EXAMPLES).collect()]
-    subjects = sorted({s for s, _ in rows})
-    seeds = _seeds(rows, index, subjects, barred)
-
-    sent_index = spark.sparkContext.broadcast(index)
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent_index.value
-        for batch in batches:
-            ids, at = [], []
-            for t, s in zip(batch["terms"], batch["sentence"]):
-                kept = [(known[x], n) for x, n in zip(t, s) if x in known]
-                ids.append([i for i, _ in kept])
-                at.append([n for _, n in kept])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "sentence": at})
-
-    bags = cut(tokens.mapInPandas(number, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, sentence array<int>"))
-    frequency = vocabulary["docs"].to_numpy(float) / max(vocabulary["docs"].sum(), 1) if terms else np.zeros(0)
-    # what may belong where: by the company a term keeps over all documents
-    company, met = seeds, np.zeros(len(terms))
-    plain = np.array([t in barred for t in terms], dtype=bool)[:, None]
-    known = seeds
-    for _ in range(ROUNDS if terms and subjects else 0):
-        company, met = _company(bags, known)
-        company = np.where(plain, 0, company)
-        # the words found speak in the next round, so that languages with few examples count too
-        known = np.where(company >= MUST_SHARE, company, 0)
-    if terms and subjects:
-        company = _with_unnamed_groups(bags, company, table, [docs_in[n] for n in named], terms, plain[:, 0], subjects)
-    lonely = (seeds > 0) & (met < 3)[:, None]
-    may = (company >= MAY_SHARE) | lonely
-    seeds = np.where(may, seeds, 0)
-    common = (company.max(axis=1, initial=0) < MUST_SHARE) & ~lonely.any(axis=1)
-    background = np.where(common[:, None], np.maximum(shares, 1e-6), 0) if named else np.zeros((len(terms), 0))
-    allowed = np.hstack([may, np.repeat(common[:, None], background.shape[1], axis=1)])
-    eta = np.hstack([SEED_WEIGHT * seeds + ETA, np.full(background.shape, ETA)]) * allowed
-    start = np.hstack([seeds + company * table.sum(axis=1, keepdims=True) * may, background]) + 1e-9
-    phi = (start / np.maximum(start.sum(axis=0), 1e-12) * allowed).astype(np.float32)
-    alpha = np.array([ALPHA] * len(subjects) + [ALPHA_BACKGROUND] * background.shape[1], dtype=np.float32)
-    if terms and len(alpha):
-        for _ in range(passes):
-            expected = _expected_counts(bags, phi, alpha)
-            total = expected + eta
-            phi = (total / np.maximum(total.sum(axis=0), 1e-12)).astype(np.float32)
-    return Fitted(bags, terms, phi, alpha, _top_term_subjects(phi, frequency, seeds, terms, subjects) if terms else [])
-
-
-def _company(bags: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms by subjects: share of each subject in the known words of the documents that hold the term; and the number of these documents.
-
-    Documents without another known word say nothing for any subject, but they count.  A
-    term's own entry does not count for it.
-    """
-    by_term = (seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    sent = bags.sparkSession.sparkContext.broadcast(by_term)
-    names = [f"s{k}" for k in range(seeds.shape[1])]
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value
-        total = np.zeros((len(table), table.shape[1] + 1))
-        for batch in batches:
-            for ids in batch["ids"]:
-                held = np.unique(np.asarray(ids, dtype=np.int64))
-                votes = table[held]
-                rest = votes.sum(axis=0)[None, :] - votes
-                whole = rest.sum(axis=1, keepdims=True)
-                known = whole[:, 0] > 0.5
-                total[held[known], :-1] += rest[known] / whole[known]
-                total[held, -1] += 1
-        used = np.flatnonzero(total[:, -1])
-        yield pd.DataFrame({"term": used.astype(np.int32), "docs": total[used, -1], **{n: total[used, k] for k, n in enumerate(names)}})
-
-    parts = bags.select("ids").mapInPandas(gather, ", ".join(["term int", "docs double", *[f"{n} double" for n in names]]))
-    summed = parts.groupBy("term").agg(F.sum("docs").alias("docs"), *[F.sum(n).alias(n) for n in names]).toPandas()  # a row per term
-    out, met = np.zeros(seeds.shape), np.zeros(len(seeds))
-    at = summed["term"].to_numpy(int)
-    # terms met in few documents lean on nothing: some documents' worth of doubt
-    out[at] = summed[names].to_numpy(float) / (summed[["docs"]].to_numpy(float) + DOUBT)
-    met[at] = summed["docs"].to_numpy(float)
-    return out, met
-
-
-def _with_unnamed_groups(bags: DataFrame, company: np.ndarray, counts: np.ndarray, docs_in: list[int], terms: list[str], barred: np.ndarray, subjects: list[str]) -> np.ndarray:
-    """company with the words of subjects that a language's examples do not show.
-
-    Words of a language whose company names no subject fall into groups by the documents
-    that hold two of them in different sentences (which filler sentences never do more
-    often than by chance).  A group goes to the subject whose known words keep it company,
-    else to one of the subjects with hardly a known word in the language, so that the
-    spelling agrees best with the subjects' words in other languages.
+    examples: (subject, text), of which at most MAX_EXAMPLES rows are read; they only give
+    priors.  NULL ids take no part; NULL and blank texts hold no sentence.  Words are
+    counted over all documents.
     """
-    if not docs_in:
-        return company
-    home = counts.argmax(axis=1)
-    named = company.max(axis=1) >= MUST_SHARE
-    single = np.array([" " not in t for t in terms])
-    own = counts[np.arange(len(terms)), home]
-    often = own >= np.maximum(5, 0.004 * np.array(docs_in)[home])
-    usable = single & often & ~barred & (own >= 0.6 * counts.sum(axis=1))
-    picked = np.concatenate([np.flatnonzero(usable & (home == n))[:MAX_GROUPED] for n in range(len(docs_in))])  # the most frequent come first
-    if not len(picked):
-        return company
-    place = np.full(len(terms), -1)
-    place[picked] = np.arange(len(picked))
-    sent = bags.sparkSession.sparkContext.broadcast((place, named[picked], home[picked]))
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, is_named, lang = sent.value
-        size = len(is_named)
-        held_keys, held_counts, loose, n_loose = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate([*loose, np.zeros(0, np.int64)]), return_counts=True)
-            keys, back = np.unique(np.concatenate([held_keys, new]), return_inverse=True)
-            return keys, np.bincount(back, weights=np.concatenate([held_counts, n]), minlength=len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for ids, at in zip(batch["ids"], batch["sentence"]):
-                spot = where[np.asarray(ids, dtype=np.int64)]
-                here, line = spot[spot >= 0], np.asarray(at, dtype=np.int64)[spot >= 0]
-                held, pos = np.unique(here, return_inverse=True)
-                # two named words of a document tell nothing here
-                if len(held) < 2 or is_named[held].all():
-                    continue
-                m = np.zeros((len(held), int(line.max()) + 1), dtype=np.int32)
-                m[pos, line] = 1
-                n = m.sum(axis=1)
-                a, b = np.nonzero(np.triu(np.outer(n, n) - m @ m.T, 1))
-                a, b = held[a], held[b]
-                told = ~(is_named[a] & is_named[b]) & (lang[a] == lang[b])
-                loose.append(a[told] * size + b[told])
-                n_loose += int(told.sum())
-                if n_loose > 2_000_000:
-                    held_keys, held_counts = merged()
-                    loose, n_loose = [], 0
-        held_keys, held_counts = merged()
-        yield pd.DataFrame({"a": held_keys // size, "b": held_keys % size, "n": held_counts})
-
-    pairs = bags.select("ids", "sentence").mapInPandas(gather, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3").toPandas()  # at most MAX_GROUPED squared a language
-    a, b, n = picked[pairs["a"].to_numpy(int)], picked[pairs["b"].to_numpy(int)], pairs["n"].to_numpy(float)
-    lift = n * np.array(docs_in, dtype=float)[home[a]] / (own[a] * own[b])
-    near: dict[int, dict[int, float]] = {}
-    for x, y, v in zip(np.r_[a, b].tolist(), np.r_[b, a].tolist(), np.r_[lift, lift].tolist()):
-        near.setdefault(x, {})[y] = v
-    company = company.copy()
-    for lang in range(len(docs_in)):
-        unnamed = [t for t in picked.tolist() if home[t] == lang and not named[t]]
-        groups = [g for g in _linked(unnamed, near) if len(g) >= 3]
-        known = {k: [t for t in picked.tolist() if home[t] == lang and named[t] and company[t].argmax() == k] for k in range(len(subjects))}
-        missing = [k for k in known if len(known[k]) < 3]
-        left = []
-        for g in groups:
-            pull = {k: np.mean([near.get(t, {}).get(u, 0.0) for t in g for u in known[k]]) for k in known if known[k]}
-            best = max(pull, key=pull.get, default=None)
-            if best is not None and pull[best] >= MIN_LIFT:
-                company[g] = np.eye(len(subjects))[best]
-            else:
-                left.append(g)
-        abroad = {k: [terms[t] for t in np.flatnonzero(named & single & (home != lang) & (company.argmax(axis=1) == k))[:200]] for k in missing}
-        for g, k in _by_spelling([[terms[t] for t in g] for g in left], abroad):
-            company[left[g]] = np.eye(len(subjects))[k]
-    return company
-
-
-def _linked(nodes: list[int], near: dict[int, dict[int, float]]) -> list[list[int]]:
-    """Groups of nodes linked by a lift of MIN_LIFT, directly or through others."""
-    open_, groups = set(nodes), []
-    for node in nodes:
-        if node not in open_:
-            continue
-        group, stack = [], [node]
-        open_.discard(node)
-        while stack:
-            x = stack.pop()
-            group.append(x)
-            for y, v in near.get(x, {}).items():
-                if v >= MIN_LIFT and y in open_:
-                    open_.discard(y)
-                    stack.append(y)
-        groups.append(group)
-    return groups
-
-
-def _by_spelling(groups: list[list[str]], subjects: dict[int, list[str]]) -> list[tuple[int, int]]:
-    """(group, subject) pairs, each at most once, the best agreement of spelling first; a lone pair at the end needs none."""
-
-    def grams(word: str) -> set[str]:
-        bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-        return {f" {bare} "[i : i + 3] for i in range(len(bare))}
-
-    def alike(x: str, y: str) -> float:
-        p, q = grams(x), grams(y)
-        return len(p & q) / max(len(p | q), 1)
-
-    scores = {(g, k): sum(max((alike(w, v) for v in words), default=0.0) ** 2 for w in group) / len(group) for g, group in enumerate(groups) for k, words in subjects.items()}
-    out = []
-    while scores:
-        g, k = max(scores, key=lambda x: (scores[x], -x[0], -x[1]))
-        out.append((g, k))
-        scores = {x: v for x, v in scores.items() if x[0] != g and x[1] != k}
+    text = F.col(text_col)
+    hashed = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc_id"), lang.cast("string").alias("lang"), _hashed(text).alias("hashes"))
+    stop = _stop_words(hashed)
+    bags = cut(_bags(hashed.drop("lang"), stop))  # numbers only
+    shown = examples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text").orderBy(F.xxhash64("subject", "text"), "subject", "text").limit(MAX_EXAMPLES)
+    rows = _bags(shown.select("subject", _hashed(F.col("text")).alias("hashes")), stop, 1).collect()  # bounded
+    subjects = sorted({r["subject"] for r in rows})
+
+    used = _summed(bags, ["once", "again"], _documents)
+    slots = used["slot"].to_numpy(np.int64)
+    size, topics = len(slots), len(subjects)
+    seeds = np.zeros((size, topics))
+    place = {s: i for i, s in enumerate(slots.tolist())}
+    for r in rows:
+        for t in r["terms"]:
+            if t in place:
+                seeds[place[t], subjects.index(r["subject"])] += 1
+    once, again = used["once"].to_numpy(float), used["again"].to_numpy(float)
+    frequency = (once + again) / max((once + again).sum(), 1.0)
+    repeated = again / np.maximum(once + again, 1.0)
+    matter, manner = frequency * (repeated + EITHER), frequency * (1 - repeated + EITHER)
+    base = np.stack([*[matter / max(matter.sum(), 1e-300)] * topics, manner / max(manner.sum(), 1e-300)], axis=1)
+    prior = SMOOTH * base
+    prior[:, :topics] += SEED_WEIGHT * seeds
+    start = prior + base * np.array([START] * topics + [START_BACKGROUND])
+    phi = start / np.maximum(start.sum(axis=0), 1e-300)
+    alpha = np.array([ALPHA] * topics + [ALPHA_BACKGROUND], dtype=np.float32)
+    for _ in range(passes if size and topics else 0):
+        counts = _expected_counts(bags, Model(slots, phi, alpha)) + prior
+        phi = counts / np.maximum(counts.sum(axis=0), 1e-300)
+    return Fitted(bags, Model(slots, phi, alpha), topic_subjects(phi, frequency, seeds, subjects) if size else [], frequency)
+
+
+def _expected_counts(bags: DataFrame, model: Model) -> np.ndarray:
+    """Expected uses of each slot in use by each topic over all documents, weighted."""
+    sent = bags.sparkSession.sparkContext.broadcast((model.slots, model.phi, model.alpha))  # at most SLOTS rows
+    names = [f"t{k}" for k in range(len(model.alpha))]
+
+    def gather() -> object:
+        held = Model(*sent.value)
+
+        def add(part: Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            q, _ = held.infer(part)
+            slot, back = np.unique(part.terms, return_inverse=True)
+            sentence = np.repeat(np.arange(len(part.sizes)), part.sizes)
+            q *= part.weight[part.doc_of][:, None]
+            yield slot, np.stack([np.bincount(back, q[sentence, k], len(slot)) for k in range(q.shape[1])], axis=1)
+
+        return add
+
+    summed = _summed(bags, names, gather)
+    sent.unpersist()
+    out = np.zeros(model.phi.shape)
+    out[np.searchsorted(model.slots, summed["slot"].to_numpy(np.int64))] = summed[names].to_numpy(float)
     return out
 
 
-def _expected_counts(bags: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Expected uses of each term by each topic over all documents."""
-    model = bags.sparkSession.sparkContext.broadcast((phi, alpha))
-    topics = phi.shape[1]
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, prior = model.value
-        total = np.zeros(table.shape)
-        for batch in batches:
-            for _, terms, _, r in infer([np.asarray(x, dtype=np.int64) for x in batch["ids"]], table, prior):
-                flat = terms.ravel()
-                for k in range(topics):
-                    total[:, k] += np.bincount(flat, weights=r[:, :, k].ravel(), minlength=len(table))
-        used = np.flatnonzero(total.sum(axis=1))
-        yield pd.DataFrame({"term": used.astype(np.int32), **{f"t{k}": total[used, k] for k in range(topics)}})
-
-    parts = bags.select("ids").mapInPandas(gather, ", ".join(["term int", *[f"t{k} double" for k in range(topics)]]))
-    summed = parts.groupBy("term").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(topics)]).toPandas()  # a row per term
-    model.unpersist()
-    out = np.zeros(phi.shape)
-    out[summed["term"].to_numpy(int)] = summed[[f"t{k}" for k in range(topics)]].to_numpy(float)
-    return out
-
-
-def assigned(model: Fitted, least_sentences: int = 2, least_words: float = 0.8, least_share: float = 0.55) -> DataFrame:
+def assigned(fitted: Fitted, least_sentences: int = 2, least_share: float = 0.5) -> DataFrame:
     """(doc_id, subject, sentences, proportion): subjects that enough sentences of a document are about.
 
-    A sentence is about the subject with the most expected words in it, if these are at
-    least least_words and least_share of its words of any subject.  proportion: the
-    subject's share of the document's topic proportions.
+    A sentence is about a subject whose topics it was drawn from with a probability of
+    least_share or more.  proportion: the share of the subject's topics in the document's
+    proportions.  An id stored twice comes once.
     """
-    subjects = sorted({s for s, _ in model.topics if s})
-    groups = np.zeros((model.phi.shape[1] if len(model.topics) else 0, len(subjects)), dtype=np.float32)
-    for k, (s, _) in enumerate(model.topics):
-        if s:
-            groups[k, subjects.index(s)] = 1
-    sent = model.bags.sparkSession.sparkContext.broadcast((model.phi, model.alpha, groups))
-    schema = f"doc_id {dict(model.bags.dtypes)['doc_id']}, subject string, sentences int, proportion double"
+    subjects = sorted({s for s in fitted.topics if s})
+    id_type = fitted.bags.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("subject", T.StringType()), T.StructField("sentences", T.IntegerType()), T.StructField("proportion", T.DoubleType())])
+    spark = fitted.bags.sparkSession
     if not subjects:
-        return model.bags.sparkSession.createDataFrame([], schema)
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phi, alpha, by_subject = sent.value
-        for batch in batches:
-            out = []
-            ids = [np.asarray(x, dtype=np.int64) for x in batch["ids"]]
-            where = [np.asarray(x, dtype=np.int64) for x in batch["sentence"]]
-            names = batch["doc_id"].tolist()
-            for docs, _, mask, r in infer(ids, phi, alpha):
-                mass = r @ by_subject
-                for row, d in enumerate(docs):
-                    n = len(ids[d])
-                    if not n:
-                        continue
-                    words = np.zeros((int(where[d].max()) + 1, len(subjects)))
-                    np.add.at(words, where[d], mass[row, :n])
-                    most = words.argmax(axis=1)
-                    top = words.max(axis=1)
-                    about = (top >= least_words) & (top >= least_share * words.sum(axis=1))
-                    held = np.bincount(most[about], minlength=len(subjects))
-                    part = words.sum(axis=0) / max(mask[row].sum(), 1)
-                    out += [(names[d], subjects[s], int(held[s]), float(part[s])) for s in np.flatnonzero(held >= least_sentences)]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "proportion"])
-
-    # an id stored twice comes once
-    return model.bags.mapInPandas(label, schema).groupBy("doc_id", "subject").agg(F.max("sentences").alias("sentences"), F.max("proportion").alias("proportion"))
+        return spark.createDataFrame([], schema)
+    of_subject = np.array([[s == t for s in subjects] for t in fitted.topics], dtype=np.float32)
+    sent = spark.sparkContext.broadcast((fitted.model.slots, fitted.model.phi, fitted.model.alpha))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
+        for batch, part in slices(batches):
+            q, held = model.infer(part)
+            about = q @ of_subject >= least_share
+            n = np.add.reduceat(about.astype(np.int32), part.doc_starts, axis=0)
+            share = held @ of_subject / held.sum(axis=1, keepdims=True)
+            doc, subject = np.nonzero(n >= least_sentences)
+            ids = batch.column("doc_id").take(pa.array(part.first + doc))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([subjects[s] for s in subject], pa.string()), pa.array(n[doc, subject], pa.int32()), pa.array(share[doc, subject].astype(float))],
+                names=["doc_id", "subject", "sentences", "proportion"],
+            )
+
+    rows = fitted.bags.mapInArrow(label, schema)
+    return rows.groupBy("doc_id", "subject").agg(F.max("sentences").alias("sentences"), F.max("proportion").alias("proportion"))
+
+
+def top_terms(fitted: Fitted, docs: DataFrame, text_col: str) -> DataFrame:
+    """(topic, subject, rank, term): the top terms of each topic, by which it was mapped, for inspection.
+
+    The term of a slot is the word that most documents hold of those hashed to it.
+    subject is NULL for background topics.
+    """
+    schema = "slot int, topic int, subject string, rank int"
+    rows = []
+    if fitted.topics:
+        for k, best in enumerate(top_rows(fitted.model.phi, fitted.frequency)):
+            rows += [(int(fitted.model.slots[i]), k, fitted.topics[k], n + 1) for n, i in enumerate(best)]
+    top = docs.sparkSession.createDataFrame(rows, schema)  # TOP_TERMS rows a topic
+    words = docs.select(F.explode(F.array_distinct(F.flatten(sentences_col(F.col(text_col))))).alias("term")).withColumn("slot", _slot(F.xxhash64("term")))
+    counts = words.join(F.broadcast(top.select("slot").distinct()), "slot").groupBy("slot", "term").agg(F.count("*").alias("n"))
+    named = counts.groupBy("slot").agg(F.max_by("term", F.struct("n", "term")).alias("term"))
+    return top.join(named, "slot").select("topic", "subject", "rank", "term")
