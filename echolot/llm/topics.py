@@ -16,11 +16,13 @@ topics of its sentences.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,7 @@ MIN_SENTENCE = 4
 COMMON_SHARE = 0.25
 #: A label is a language if so large a share of the documents, and so many, bear it.
 LANGUAGE_SHARE, LANGUAGE_DOCS = 0.001, 20
-PASSES, INNER = 4, 6
+PASSES, INNER = 3, 4
 #: Dirichlet priors of a document's proportions: each topic, the background.
 ALPHA, ALPHA_BACKGROUND = 0.1, 0.1
 #: Prior counts of a topic's words: for each use in an example, and all other words together.
@@ -56,6 +58,10 @@ _TAGS = r"</?[A-Za-z][^<>]{0,200}>"
 _WRAPPED = r"\r?\n[ \t]{2,}(?=\S)"
 _BREAKS = r"(?<=[.?!…])[\"')\]*]*\s+|[\r\n]+"
 _WORDS = re.compile(r"[^\W\d_]{2,}")
+#: Words of a plain text in lower case, and what ends its sentences.
+_PLAIN = re.compile(r"[a-z]{2,}|[.?!][\"')\]*]*\s|[\r\n]")
+#: Marks between the codes of words: the end of a sentence, of a document.
+BREAK, END = -1, -2
 _DAMAGED = re.compile("[ÃÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 
@@ -81,47 +87,111 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in split if s]
 
 
-def sentences_col(text: Column) -> Column:
-    """``sentences`` as a column: plain ASCII in the JVM, other texts by an Arrow function; NULL and '' have none."""
-    plain = text.rlike(r"^\p{ASCII}*$")
-    lines = F.split(F.lower(F.regexp_replace(F.regexp_replace(text, _TAGS, "\n"), _WRAPPED, " ")), _BREAKS)
-    words = F.filter(F.transform(lines, lambda s: F.regexp_extract_all(s, F.lit(r"([a-z]{2,})"), F.lit(1))), lambda s: F.size(s) > 0)
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def other(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else sentences(t) for t in texts], dtype=object)
-
-    return F.when(plain, words).otherwise(other(F.when(~plain, text)))
-
-
-def _slot(word_hash: Column) -> Column:
-    return F.pmod(word_hash, F.lit(SLOTS)).cast("int")
-
-
-def _hashed(text: Column) -> Column:
-    return F.transform(sentences_col(text), lambda s: F.transform(s, lambda w: F.xxhash64(w)))
-
+class Codes(dict):
+    """32-bit code of each word met, BREAK for what ends a sentence."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        code = self[token] = xxhash.xxh32_intdigest(token) if token[0].isalpha() else BREAK
+        return code
+
+
+def coded(text: str, codes: Codes) -> list[int]:
+    """The codes of a text's words with BREAK between sentences; the same sentences as of ``sentences``."""
+    if text.isascii():
+        text = text.lower()
+        if "<" in text:
+            text = re.sub(_TAGS, "\n", text)
+        if "\n" in text:
+            text = re.sub(_WRAPPED, " ", text)
+        return list(map(codes.__getitem__, _PLAIN.findall(text)))
+    return [c for s in sentences(text) for c in (*map(codes.__getitem__, s), BREAK)]
+
+
+def listed(values: np.ndarray, per_row: np.ndarray) -> pa.ListArray:
+    """Arrow lists of so many values a row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def _coded(rows: DataFrame, least: int) -> DataFrame:
+    """rows (..., text) with terms (codes of the words of all sentences of least words or more) and sizes (words of each) for text."""
+    kept = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            at = 0
+            texts = batch.column("text")
+            while at < len(texts):
+                found, first = [], at
+                while at < len(texts) and len(found) < BATCH_WORDS:
+                    found += coded(texts[at].as_py(), codes)
+                    found.append(END)
+                    at += 1
+                tokens = np.array(found, dtype=np.int64)
+                words = tokens >= 0
+                sentence = np.cumsum(~words)[words]  # number of the sentence of each word
+                doc_of_sentence = np.concatenate(([0], np.cumsum(tokens == END)[~words]))
+                sizes = np.bincount(sentence, minlength=len(doc_of_sentence))
+                held = sizes >= least
+                docs = at - first
+                terms = tokens[words][held[sentence]].astype(np.uint32).view(np.int32)
+                per_doc = np.bincount(doc_of_sentence[held], minlength=docs)[:docs]
+                words_of_doc = np.bincount(doc_of_sentence[held], sizes[held], minlength=docs)[:docs].astype(np.int64)
+                part = batch.slice(first, docs)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], listed(terms, words_of_doc), listed(sizes[held], per_doc)], names=[*kept, "terms", "sizes"])
+
+    return rows.mapInArrow(read, schema).where(F.size("terms") > 0)
+
+
+def _bags(rows: DataFrame, stop: np.ndarray) -> DataFrame:
+    """rows (..., terms, sizes) of codes without stop words, the codes as slots."""
+    kept = [c for c in rows.columns if c not in ("terms", "sizes")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in slices(batches):
+            sentence = np.repeat(np.arange(len(part.sizes)), part.sizes)
+            told = np.ones(len(part.terms), dtype=bool)
+            if len(stop):
+                told = stop[np.minimum(np.searchsorted(stop, part.terms), len(stop) - 1)] != part.terms
+            sizes = np.bincount(sentence[told], minlength=len(part.sizes))
+            docs = len(part.doc_starts)
+            doc_of = part.doc_of[sizes > 0]
+            words = np.bincount(doc_of, sizes[sizes > 0], minlength=docs).astype(np.int64)
+            left = batch.slice(part.first, docs)
+            lists = [listed(part.terms[told] & (SLOTS - 1), words), listed(sizes[sizes > 0], np.bincount(doc_of, minlength=docs))]
+            yield pa.RecordBatch.from_arrays([*[left.column(c) for c in kept], *lists], names=[*kept, "terms", "sizes"])
 
-def _bags(hashed: DataFrame, stop: list[int], least: int = MIN_SENTENCE) -> DataFrame:
-    """hashed (..., hashes) with terms (slots of all words but stop words) and sizes (words of each sentence that keeps any) for it."""
-    whole = F.filter("hashes", lambda s: F.size(s) >= least)
-    kept = F.filter(F.transform(whole, lambda s: F.filter(s, lambda h: ~h.isin(stop))) if stop else whole, lambda s: F.size(s) > 0)
-    rows = hashed.withColumn("hashes", kept).where(F.size("hashes") > 0)
-    return rows.select(*[c for c in rows.columns if c != "hashes"], F.transform(F.flatten("hashes"), _slot).alias("terms"), F.transform("hashes", lambda s: F.size(s)).alias("sizes"))
+    return rows.mapInArrow(number, rows.schema).where(F.size("terms") > 0)
 
 
-def _stop_words(hashed: DataFrame) -> list[int]:
-    """Hashes of the words that COMMON_SHARE of the documents of a language hold.
+def _stop_words(words: DataFrame) -> np.ndarray:
+    """Codes of the words that COMMON_SHARE of the documents of a language hold.
 
     Few by their nature: of a language at most the mean number of different words in a
     document over COMMON_SHARE, and of languages at most 1 / LANGUAGE_SHARE.
     """
-    rows = hashed.select(F.coalesce("lang", F.lit("")).alias("lang"), F.array_distinct(F.flatten("hashes")).alias("words"))
-    least = F.greatest(F.lit(LANGUAGE_SHARE) * rows.count(), F.lit(float(LANGUAGE_DOCS)))
-    named = rows.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
-    counts = rows.select("lang", F.explode("words").alias("h")).groupBy("lang", "h").agg(F.count("*").alias("n"))
-    common = counts.join(named, "lang").where(F.col("n") > COMMON_SHARE * F.col("docs")).select("h").distinct()
-    return [r["h"] for r in common.collect()]  # bounded, see above
+    label = F.coalesce("lang", F.lit(""))
+    named = words.groupBy(label.alias("lang")).agg(F.count("*").alias("docs"))
+    whole = named.agg(F.sum("docs").alias("whole"))  # one row
+    named = named.crossJoin(F.broadcast(whole)).where((F.col("docs") >= LANGUAGE_DOCS) & (F.col("docs") >= F.lit(LANGUAGE_SHARE) * F.col("whole"))).select("lang", "docs")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in slices(batches):
+            langs = batch.column("lang").slice(part.first, len(part.doc_starts)).dictionary_encode()
+            codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(part.doc_of, part.sizes).astype(np.int64)
+            pairs = np.unique((doc << 32) | part.terms.view(np.uint32))
+            keys, n = np.unique((codes[pairs >> 32] << 32) | (pairs & 0xFFFFFFFF), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(keys >> 32)), pa.array((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"]
+            )
+
+    counts = words.select(label.alias("lang"), "terms", "sizes").mapInArrow(held, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    common = counts.join(named, "lang").where(F.col("n") > COMMON_SHARE * F.col("docs")).select("code").distinct()
+    return np.sort(np.array([r["code"] for r in common.collect()], dtype=np.int32))  # bounded, see above
 
 
 class Slice:
@@ -245,12 +315,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang: Column, examples: Dat
     priors.  NULL ids take no part; NULL and blank texts hold no sentence.  Words are
     counted over all documents.
     """
-    text = F.col(text_col)
-    hashed = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc_id"), lang.cast("string").alias("lang"), _hashed(text).alias("hashes"))
-    stop = _stop_words(hashed)
-    bags = cut(_bags(hashed.drop("lang"), stop))  # numbers only
+    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_col).alias("text"))
+    words = cut(_coded(docs, MIN_SENTENCE))  # texts are read once; numbers only from here
+    stop = _stop_words(words)
+    bags = cut(_bags(words.drop("lang"), stop))
     shown = examples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text").orderBy(F.xxhash64("subject", "text"), "subject", "text").limit(MAX_EXAMPLES)
-    rows = _bags(shown.select("subject", _hashed(F.col("text")).alias("hashes")), stop, 1).collect()  # bounded
+    rows = _bags(_coded(shown, 1), stop).collect()  # bounded
     subjects = sorted({r["subject"] for r in rows})
 
     used = _summed(bags, ["once", "again"], _documents)
@@ -288,10 +358,11 @@ def _expected_counts(bags: DataFrame, model: Model) -> np.ndarray:
 
         def add(part: Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             q, _ = held.infer(part)
-            slot, back = np.unique(part.terms, return_inverse=True)
+            rows = held.place[part.terms]
+            low, high = int(rows.min()), int(rows.max()) + 1
+            by_topic = np.ascontiguousarray((q * part.weight[part.doc_of][:, None]).T)
             sentence = np.repeat(np.arange(len(part.sizes)), part.sizes)
-            q *= part.weight[part.doc_of][:, None]
-            yield slot, np.stack([np.bincount(back, q[sentence, k], len(slot)) for k in range(q.shape[1])], axis=1)
+            yield held.slots[low:high], np.stack([np.bincount(rows - low, t[sentence], high - low) for t in by_topic], axis=1)
 
         return add
 
@@ -348,7 +419,17 @@ def top_terms(fitted: Fitted, docs: DataFrame, text_col: str) -> DataFrame:
         for k, best in enumerate(top_rows(fitted.model.phi, fitted.frequency)):
             rows += [(int(fitted.model.slots[i]), k, fitted.topics[k], n + 1) for n, i in enumerate(best)]
     top = docs.sparkSession.createDataFrame(rows, schema)  # TOP_TERMS rows a topic
-    words = docs.select(F.explode(F.array_distinct(F.flatten(sentences_col(F.col(text_col))))).alias("term")).withColumn("slot", _slot(F.xxhash64("term")))
-    counts = words.join(F.broadcast(top.select("slot").distinct()), "slot").groupBy("slot", "term").agg(F.count("*").alias("n"))
+    wanted = {r[0] for r in rows}
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                n.update({w for s in sentences(text) for w in s} if text else ())
+            slots = {w: xxhash.xxh32_intdigest(w) & (SLOTS - 1) for w in n}
+            told = [w for w in n if slots[w] in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([slots[w] for w in told], pa.int32()), pa.array(told, pa.string()), pa.array([n[w] for w in told], pa.int64())], names=["slot", "term", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(words, "slot int, term string, n long").groupBy("slot", "term").agg(F.sum("n").alias("n"))
     named = counts.groupBy("slot").agg(F.max_by("term", F.struct("n", "term")).alias("term"))
     return top.join(named, "slot").select("topic", "subject", "rank", "term")

@@ -295,11 +295,19 @@ def test_topics_on_planted_subjects(spark):
     assert {s for s in model.topics if s} == set(subjects)
 
 
-def test_sentence_column_agrees_with_function(spark):
-    texts = ["One two. Three four?\n<p>Five six</p> 7 8\n    go on here\nNext line", "schÃ¶n. It's 3 o'clock!) Then (so) on", "", None, "a <b", "Ünder… the sea\r\n  wrapped line\ttab", "x" * 50_000 + ". " + "word " * 50_000, "A.B. c", "\x00\x1fodd signs\x7f"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(2)
-    got = {r["id"]: r["s"] for r in df.select("id", topics.sentences_col(F.col("t")).alias("s")).collect()}
-    assert got == {i: None if t is None else topics.sentences(t) for i, t in enumerate(texts)}
+def test_coded_sentences_agree_with_sentences(spark, monkeypatch):
+    texts = [
+        "One two. Three four?\n<p>Five six</p> 7 8\n    go on here\nNext line", "schÃ¶n. It's 3 o'clock!) Then (so) on", "", None, "a <b", "Ünder… the sea\r\n  wrapped line\ttab",
+        "x" * 50_000 + ". " + "word " * 50_000, "A.B. c", "\x00\x1fodd signs\x7f", "what?! no. 'Yes.' they said.\n\nEnd", ". . .",
+    ]
+    monkeypatch.setattr(topics, "BATCH_WORDS", 11)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").where("text IS NOT NULL").coalesce(1)
+    codes = topics.Codes()
+    for least in (1, 3):
+        got = {r["id"]: (r["terms"], r["sizes"]) for r in topics._coded(df, least).collect()}
+        want = {i: [s for s in topics.sentences(t) if len(s) >= least] for i, t in enumerate(texts) if t is not None}
+        want = {i: ([int(np.uint32(codes[w]).view(np.int32)) for x in s for w in x], [len(x) for x in s]) for i, s in want.items() if s}
+        assert got == want
 
 
 def test_inference_in_slices_agrees_with_whole(monkeypatch):
