@@ -299,22 +299,20 @@ def folder_nesting(spark: SparkSession, sf: str) -> DataFrame:
     return layout.nesting(layout.folder_stats(_files(spark, sf)))
 
 
-_PX = "'^([A-Za-z][A-Za-z0-9]*?)(?:\\+{2,}|[_\\s.-]+)(.+)$'"
-
-
-@query(f"""WITH {_ST}, q AS (SELECT folder, parent, regexp_extract(name, {_PX}, 1) AS prefix, trim(regexp_replace(regexp_extract(name, {_PX}, 2), '[ \\-_.+]+$|^[ \\-_.+]+', '', 'g')) AS new_name FROM st),
-    z AS (SELECT *, lower(prefix) AS k FROM q WHERE length(prefix) >= 3 AND new_name <> '' AND (regexp_matches(prefix, '^[A-Z]{{3,8}}$') OR regexp_matches(prefix, '[0-9]') OR regexp_matches(prefix, '^.+[A-Z]')))
+@query(f"""WITH {_ST}, p AS (SELECT folder, parent, name, regexp_extract(name, '^[A-Za-z][A-Za-z0-9]*') AS prefix FROM st), r AS (SELECT *, substr(name, length(prefix) + 1) AS rest FROM p),
+    q AS (SELECT folder, parent, prefix, trim(rest, ' -_.+\t\n') AS new_name FROM r WHERE length(prefix) >= 3 AND regexp_matches(rest, '^([\s_.-]|\+\+)')),
+    z AS (SELECT *, lower(prefix) AS k FROM q WHERE new_name <> '' AND (regexp_matches(prefix, '^[A-Z]{{3,8}}$') OR regexp_matches(prefix, '[0-9]') OR regexp_matches(prefix, '^.+[A-Z]')))
     SELECT parent, min(prefix) OVER w AS prefix, folder, new_name FROM z WINDOW w AS (PARTITION BY parent, k) QUALIFY count(*) OVER w >= 3""")
 def folder_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Sibling folders that begin with one code."""
     return layout.common_prefix(layout.folder_stats(_files(spark, sf)))
 
 
-_BARE = "regexp_replace(trim(name), '^[\\[(]\\s*([^\\[\\]()]+?)\\s*[\\])]$', '\\1')"
-_CUT = f"regexp_replace(trim(regexp_replace({_BARE}, '^\\s*(?:\\d{{1,3}}\\s*[-_.]\\s*|\\d{{1,3}}\\s{{2,}}|(?:0\\d+|\\d)\\s+)(\\S)', '\\1')), '^[ \\-_.]+|[ \\-_.]+$', '', 'g')"
-
-
-@query(f"WITH {_ST} SELECT folder, {_CUT} AS new_name FROM st WHERE {_CUT} <> trim(name) AND {_CUT} <> '' AND NOT regexp_full_match({_CUT}, '[0-9]+')")
+@query(f"""WITH {_ST}, sn_w AS (SELECT folder, trim(name) AS w, substr(trim(name), 2, greatest(length(trim(name)) - 2, 0)) AS i FROM st),
+    sn_b AS (SELECT folder, w, CASE WHEN left(w, 1) IN ('[', '(') AND right(w, 1) IN (']', ')') AND trim(i) <> '' AND NOT regexp_matches(i, '[\[\]()]') THEN trim(i) ELSE w END AS b FROM sn_w),
+    sn_g AS (SELECT *, length(regexp_extract(b, '^[0-9]+')) AS n, regexp_extract(b, '^[0-9]+([\s\-_.]+)', 1) AS gap FROM sn_b),
+    sn_c AS (SELECT folder, w, trim(CASE WHEN n > 0 AND gap <> '' AND ((n <= 3 AND (regexp_matches(gap, '[-_.]') OR length(gap) > 1)) OR n = 1 OR left(b, 1) = '0') THEN substr(b, n + length(gap) + 1) ELSE b END, ' -_.') AS new_name FROM sn_g)
+    SELECT folder, new_name FROM sn_c WHERE new_name NOT IN ('', w) AND NOT regexp_full_match(new_name, '[0-9]+')""")
 def folder_sort_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Folders whose names lose a sort number or brackets."""
     stats = layout.folder_stats(_files(spark, sf))
@@ -323,10 +321,12 @@ def folder_sort_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 _DIR = f"left(path, length(path) - length({R.base('path')}))"
 _ROOM = f"greatest(90 - strlen({_DIR}) - 7 - strlen({R.suffix(R.base('path'))}), 1)"
-_SHORT = f"regexp_replace(left({R.stem('path')}, {_ROOM}), '[ \\-_.]+$', '')"
+_STEM = R.stem("path")
+_LONGEST = f"left({_STEM}, list_max(list_filter(range(0, length({_STEM}) + 1), lambda n: strlen(left({_STEM}, n)) <= {_ROOM})))"
+_SHORT = f"regexp_replace({_LONGEST}, '[ \\-_.]+$', '')"
 
 
-@query(f"SELECT id, {_DIR} || coalesce(nullif({_SHORT}, ''), 'SHORT') || '_' || left(md5({R.base('path')}), 6) || {R.suffix(R.base('path'))} AS short_path FROM files WHERE strlen(path) > 90")
+@query(f"SELECT id, {_DIR} || coalesce(nullif({_SHORT}, ''), left('SHORT', {_ROOM})) || '_' || left(md5({R.base('path')}), 6) || {R.suffix(R.base('path'))} AS short_path FROM files WHERE strlen(path) > 90")
 def shortened_paths(spark: SparkSession, sf: str) -> DataFrame:
     """File paths of more than 90 bytes, shortened."""
     p = F.col("path")

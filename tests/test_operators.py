@@ -143,7 +143,8 @@ def test_suggestions(spark):
 
 
 def test_name_tokens(spark):
-    tests = {"AMB_RAIN_01": ["AMB", "RAIN", "01"], "rec 2020-01-31 24bit 48khz door": ["rec", "door"], "MKH8040 sh2301": ["MKH8040", "sh", "2301"], "sTAKE=48 Bell": ["Bell"], "a-b": []}
+    tests = {"AMB_RAIN_01": ["AMB", "RAIN", "01"], "rec 2020-01-31 24bit 48khz door": ["rec", "door"], "MKH8040 sh2301": ["MKH8040", "sh", "2301"], "sTAKE=48 Bell": ["Bell"], "a-b": [], "Door 44.1kHz 24-bit 44k1": ["Door"],
+        "March 3rd, 2019 Rain": ["Rain"], "3 Mar 2019 Rain": ["Rain"], "20190303 Rain 12:30:05": ["Rain"], "2019 13 45 Rain": ["2019", "13", "45", "Rain"], "May Day": ["May", "Day"], "": []}
     df = spark.createDataFrame([(k,) for k in tests], "t string")
     assert {r[0]: r[1] for r in df.select("t", tags.name_tokens(F.col("t"))).collect()} == tests
 
@@ -164,8 +165,11 @@ def test_layout(spark):
     assert {r["id"]: r["status"] for r in layout.rename_plan(f, "safe").collect()} == {1: "conflict", 3: "planned"}
     assert {r["id"]: r["target"] for r in layout.rename_plan(f, "portable").collect()}[3] == "/l/Gravel and co.wav"
     assert {r["id"]: r["target"] for r in layout.rename_plan(f, "ucs").collect()}[4] == "/l/SFX_MISC_DOOR.wav"
-    names_ = spark.createDataFrame([("01 - Doors",), ("[Rain]",), ("2020",), ("7 Metal",), ("Plain",)], "n string")
-    assert [r[0] for r in names_.select(layout.without_sort_number(F.col("n"))).collect()] == ["Doors", "Rain", None, "Metal", None]
+    names_ = spark.createDataFrame([("01 - Doors",), ("[Rain]",), ("2020",), ("7 Metal",), ("Plain",), ("12 Monkeys",), ("[a](b)",), ("1234 - x",), (None,)], "n string")
+    assert [r[0] for r in names_.select(layout.without_sort_number(F.col("n"))).collect()] == ["Doors", "Rain", None, "Metal", None, None, None, None, None]
+    long = spark.createDataFrame([("/l/" + "é" * 200 + ".wav",), ("/l/" + "ガ" * 100 + ".wav",), ("/l/" + "a" * 300 + ".wav",), ("/l/x" + "😀" * 90 + ".wav",), ("/l/short.wav",)], "p string")
+    cut = [r[0] for r in long.select(layout.shortened(F.col("p"), 60)).collect()]
+    assert all(len(c.encode()) <= 60 and "\ufffd" not in c for c in cut) and cut[4] == "/l/short.wav" and min(len(c.encode()) for c in cut[:4]) > 55
     stats = layout.folder_stats(files(spark, [("/l/Rain/Rain/wav/1.wav", None), ("/l/GDC_1/a.wav", None), ("/l/GDC_2/a.wav", None), ("/l/GDC_3/a.wav", None)]))
     assert {(r["folder"], r["kind"]) for r in layout.nesting(stats).collect()} >= {("/l/Rain/Rain", "repeated_folder_name"), ("/l/Rain", "single_child_chain"), ("/l/Rain/Rain/wav", "low_value_wrapper")}
     assert {r["new_name"] for r in layout.common_prefix(stats).collect()} == {"1", "2", "3"}
