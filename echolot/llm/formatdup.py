@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting differences (problem 6).
 
-Canonical text, hashed to 128 bits and aggregated with map-side combining; a
-second, independent hash is checked with it, so that two different texts under
-one 128-bit hash are told apart.
+Canonical text, hashed to 128 bits and aggregated with map-side combining.  A second,
+independent hash tells different texts under one 128-bit hash apart, and the least and
+the greatest text of each group are compared, so that no two texts can pass as one.
 """
 
 from __future__ import annotations
@@ -36,24 +36,30 @@ def plain_list(col: Column | str) -> Column:
     return F.array_join(F.array_sort(F.filter(parts, lambda x: x != "")), ",")
 
 
-def copy_groups(rows: DataFrame, keys: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+def copy_groups(rows: DataFrame, keys: list[str], id_col: str, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hash and copy_id of each row, groups) for rows that agree in all key columns; rows with NULL id take no part.
 
-    groups: the keys' hash, first_id (smallest id), copies (distinct ids), n_rows.  NULL
-    keys agree with NULL and differ from ''.  A hash met by different keys is told apart
-    by the keys' second, independent 64-bit hash, which is part of the grouping.
+    groups: the keys' hash, first_id (smallest id), copies (distinct ids), n_rows, and the
+    kept columns of the row first_id (of rows stored twice with different content the
+    least).  NULL keys agree with NULL and differ from ''.  Should two texts ever agree in
+    both hashes, the query fails and says so instead of counting them as one.
     """
     text = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
-    hashed = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("copy_id"), F.unhex(F.md5(text)).alias("h"), F.xxhash64(text).alias("h2"))
+    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("copy_id"), text.alias("t"), *[F.col(c).alias(f"_k_{c}") for c in kept or ()])
+    hashed = base.withColumns({"h": F.unhex(F.md5("t")), "h2": F.xxhash64("t")})
+    first = [F.min(F.struct("copy_id", *[f"_k_{c}" for c in kept])).alias("_first")] if kept else []
     # distinct ids first (rows stored twice), combined map-side, then the groups
-    ids = hashed.groupBy("h", "h2", "copy_id").agg(F.count("*").alias("stored"))
-    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"))
-    return ids.select("h", "h2", "copy_id"), groups
+    ids = hashed.groupBy("h", "h2", "copy_id").agg(F.count("*").alias("stored"), F.min("t").alias("_lo"), F.max("t").alias("_hi"), *first)
+    again = [F.min("_first").alias("_first")] if kept else []
+    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *again)
+    checked = F.when(F.col("_lo") == F.col("_hi"), F.col("first_id")).otherwise(F.raise_error(F.lit("two texts under one hash")).cast(groups.schema["first_id"].dataType))
+    carried = [F.col(f"_first._k_{c}").alias(c) for c in kept or ()]
+    return ids.select("h", "h2", "copy_id"), groups.select("h", "h2", checked.alias("first_id"), "copies", "n_rows", *carried)
 
 
-def collapsed(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """(first_id, copies, n_rows): each set of rows that say the same, collapsed into one with its number of copies."""
-    return copy_groups(rows, keys, id_col)[1].select("first_id", "copies", "n_rows")
+def collapsed(rows: DataFrame, keys: list[str], id_col: str, kept: list[str] | None = None) -> DataFrame:
+    """(first_id, copies, n_rows, kept...): each set of rows that say the same, collapsed into its first row, with its number of copies."""
+    return copy_groups(rows, keys, id_col, kept)[1].select("first_id", "copies", "n_rows", *(kept or ()))
 
 
 def copies(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:

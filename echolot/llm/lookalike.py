@@ -26,15 +26,20 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, case: str = "keep
     """(id_a, id_b) of rows whose texts differ as stored but have one consistent form, id_a < id_b.
 
     Rows with NULL text or id take no part; texts equal as stored are no pair, a pair
-    comes once (repeated rows add nothing); an empty table gives an empty result.  One shuffle on the
-    form, reused for both sides of the equi-join; AQE splits skewed forms.  The number of
-    rows is that of the pairs asked for; ``lookalike_classes`` is the linear form.
+    comes once (repeated rows add nothing); an empty table gives an empty result.  Forms
+    with one stored text, however many rows hold it, are left out by an aggregation with
+    map-side combining; of the others different texts are paired, not rows, and pairs of
+    texts then meet their rows.  The number of rows is that of the pairs asked for;
+    ``lookalike_classes`` is the linear form.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("form", consistent_col("text", case))
-    a = rows.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"), "form")
-    b = rows.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"), "form")
-    return a.join(b, "form").where("id_a < id_b AND text_a <> text_b").select("id_a", "id_b").distinct()
+    several = rows.groupBy("form").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where("_lo <> _hi").select("form")
+    told = rows.join(several, "form").distinct()
+    texts = told.select("form", "text").distinct()
+    pairs = texts.select("form", F.col("text").alias("text_a")).join(texts.select("form", F.col("text").alias("text_b")), "form").where("text_a <> text_b")
+    left = told.select("form", F.col("text").alias("text_a"), F.col("id").alias("id_a")).join(pairs, ["form", "text_a"])
+    return left.join(told.select("form", F.col("text").alias("text_b"), F.col("id").alias("id_b")), ["form", "text_b"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def lookalike_classes(df: DataFrame, id_col: str, text_col: str, case: str = "keep") -> DataFrame:

@@ -55,11 +55,13 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = survivor.surviving_rows(files, "digest", "id", bundles, rules)
     fields = {b.name: b.fields for b in bundles}
     wide = files.select("id", *[c for cs in fields.values() for c in cs])
-    picks = chosen.select("digest", "n_rows", F.explode(F.array(*[F.struct(F.lit(b).alias("bundle"), F.col(f"{b}_id").alias("id")) for b in fields])).alias("p")).select("digest", "n_rows", "p.*")
+    picks = chosen.select("digest", "n_rows", "consistent", F.explode(F.array(*[F.struct(F.lit(b).alias("bundle"), F.col(f"{b}_id").alias("id")) for b in fields])).alias("p")).select("digest", "n_rows", "consistent", "p.*")
     rows = picks.join(wide, "id")
-    return rows.groupBy(F.col("digest").alias("md5")).agg(
-        F.max("n_rows").alias("n_rows"), *[F.max(F.when(F.col("bundle") == b, F.col(c))).alias(c) for b, cs in fields.items() for c in cs]
+    # a bundle's fields come from one row, also where an id is stored twice with different content
+    whole = rows.groupBy(F.col("digest").alias("md5")).agg(
+        F.max("n_rows").alias("n_rows"), F.bool_and("consistent").alias("consistent"), *[F.max(F.when(F.col("bundle") == b, F.struct(*cs))).alias(f"_{b}") for b, cs in fields.items()]
     )
+    return whole.select("md5", "n_rows", "consistent", *[F.col(f"_{b}")[c].alias(c) for b, cs in fields.items() for c in cs])
 
 
 # --- problem 2 -------------------------------------------------------------
@@ -71,17 +73,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every path in its consistent form, with the class of paths that look like it."""
-    return lookalike.lookalike_classes(table(spark, sf_dir, "files"), "id", "path")
+    """Every path and every filename in its consistent form, with the class of those that look like it."""
+    files = table(spark, sf_dir, "files")
+    both = [lookalike.lookalike_classes(files, "id", c).select(F.lit(c).alias("field"), "id", "consistent_form", "class_id", "spellings") for c in ("path", "filename")]
+    return both[0].unionByName(both[1])
 
 
 # --- problem 3 -------------------------------------------------------------
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _terms(spark: SparkSession, sf_dir: str, once: bool) -> tuple[DataFrame, DataFrame]:
+    """Terms with their records, and the records of each kind; once: tags stored twice count as one occurrence, which needs a shuffle of them."""
     tags = table(spark, sf_dir, "accepted_tags")
     files = table(spark, sf_dir, "files")
-    values = tags.select("id", "file_id", "value").distinct().select(F.lit("value").alias("kind"), termfreq.value_term("value").alias("term"), F.col("file_id").alias("record"))
+    values = (tags.select("id", "file_id", "value").distinct() if once else tags).select(F.lit("value").alias("kind"), termfreq.value_term("value").alias("term"), F.col("file_id").alias("record"))
     words = files.select(F.lit("stem").alias("kind"), F.explode(termfreq.word_terms("stem")).alias("term"), F.col("id").alias("record"))
     totals = tags.agg(F.lit("value").alias("kind"), F.count_distinct("file_id").alias("total")).unionByName(
         files.agg(F.lit("stem").alias("kind"), F.count("stem").alias("total"))
@@ -91,13 +96,15 @@ def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences, records and mark of every term."""
-    terms, totals = _terms(spark, sf_dir)
+    terms, totals = _terms(spark, sf_dir, True)
     return termfreq.marked(termfreq.term_counts(terms), totals).select(F.col("kind").alias("taken_from"), "term", "occurrences", "records", "mark")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in exactly one record or in at least 5 % of the records."""
-    return p3_terms(spark, sf_dir).where("mark IS NOT NULL").select("taken_from", "term", "mark")
+    # marks go by records, which a tag stored twice does not change
+    terms, totals = _terms(spark, sf_dir, False)
+    return termfreq.marked(termfreq.term_counts(terms), totals).where("mark IS NOT NULL").select(F.col("kind").alias("taken_from"), "term", "mark")
 
 
 # --- problem 4 -------------------------------------------------------------
@@ -171,8 +178,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per tag with the number of its copies."""
-    return formatdup.collapsed(_canonical_tags(spark, sf_dir), ["file_id", "field_c", "value_c"], "id")
+    """One record per tag, as its first copy writes it, with the number of its copies."""
+    return formatdup.collapsed(_canonical_tags(spark, sf_dir), ["file_id", "field_c", "value_c"], "id", ["file_id", "field", "value"])
 
 
 # --- problem 7 -------------------------------------------------------------

@@ -56,6 +56,14 @@ def test_dependencies_hold(spark):
     assert got["g"] == (2, 3) and got["j"] == (8, 8) and got["i"] == (None, 7)
 
 
+def test_groups_whose_dependencies_cannot_be_met_are_marked(spark):
+    rows = [(i, f"k{i}", 1.0, 1.0, "wav", "pcm", "x") for i in range(20, 30)] + [(1, "g", 1.0, 3.0, "wav", "lossy", "x"), (2, "g", 2.0, 1.0, "wav", "lossy", "x")]
+    df = spark.createDataFrame(rows + [(3, "h", 1.0, 2.0, "wav", "lossy", "x"), (4, "h", 1.0, 1.0, "wav", "pcm", "x")], SCHEMA)
+    chosen = survivor.surviving_rows(df, "g", "id", _bundles(), [survivor.Dependency("a", "ext", "b", "kind")]).collect()
+    got = {r["g"]: (r["a_id"], r["b_id"], r["consistent"]) for r in chosen}
+    assert got == {"g": (2, 1, False), "h": (3, 4, True)}
+
+
 @pytest.mark.parametrize("text,want", [
     ("0123456789ABCDEF0123456789abcdef", "0123456789abcdef" * 2), (" 0123456789abcdef0123456789abcdef\n", "0123456789abcdef" * 2), ("md5:0123456789abcdef0123456789abcdef", "0123456789abcdef" * 2),
     ("MD5 0123456789abcdef0123456789abcdef", "0123456789abcdef" * 2), ("01234567-89ab-cdef-0123-456789abcdef", "0123456789abcdef" * 2), ("pending", None), ("", None), (None, None),

@@ -58,6 +58,15 @@ def test_lookalike_pairs_match_brute_force(spark):
     assert lookalike.lookalike_pairs(df.limit(0), "id", "path").count() == 0
 
 
+def test_one_text_of_many_rows_makes_no_pairs(spark):
+    """A text that a large share of the rows holds is paired once with each other text of its form, not row by row with itself."""
+    hot = spark.range(60_000).select("id", F.lit("Same Path").alias("path"))
+    few = spark.createDataFrame([(100_001, "Same\u00a0Path"), (100_002, "Ѕame Path"), (100_003, "other")], "id long, path string")
+    pairs = lookalike.lookalike_pairs(hot.unionByName(few), "id", "path")
+    assert pairs.count() == 2 * 60_000 + 1
+    assert lookalike.lookalike_pairs(hot, "id", "path").count() == 0
+
+
 def test_term_counts_match_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
@@ -166,6 +175,17 @@ def test_formatting_duplicates(spark):
     sets = {r["first_id"]: (r["copies"], r["n_rows"]) for r in formatdup.collapsed(c, ["file_id", "fc", "vc"], "id").collect()}
     assert sets[1] == (2, 3) and sets[3] == (3, 3) and sets[12] == (1, 1)
     assert formatdup.copies(c.limit(0), ["file_id", "fc", "vc"], "id").count() == 0
+    records = {r["first_id"]: (r["copies"], r["field"], r["value"]) for r in formatdup.collapsed(c, ["file_id", "fc", "vc"], "id", ["field", "value"]).collect()}
+    assert records[1] == (2, "keyword", "Rain, wind") and records[10] == (2, "x", None)
+
+
+def test_texts_that_meet_in_both_hashes_are_noticed(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    monkeypatch.setattr(formatdup.F, "md5", lambda c: F.lit("00"))
+    assert formatdup.copies(df, ["v"], "id").count() == 0  # the second hash tells them apart
+    monkeypatch.setattr(formatdup.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
+    with pytest.raises(Exception, match="two texts under one hash"):
+        formatdup.copies(df, ["v"], "id").collect()
 
 
 def test_hot_group_of_copies(spark):
