@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Rare n-gram seeds join corpus documents to test items: of each window of
-``min_run`` words of an item the n-gram that fewest documents hold is a seed, so
-every run of that length holds at least one.  Documents and items that share a
+Rare n-gram seeds join corpus documents to test items: of the n-grams of each window of
+``min_run`` words of an item that any document holds, the SEEDS_A_WINDOW that fewest
+documents hold are seeds, so every run of that length holds some, and so does an edited
+copy that keeps n words in a row, mostly.  Documents and items that share a
 seed are aligned word by word (Smith-Waterman), which also scores edited copies.
 Copies edited too evenly to keep a seed are found by upper bounds of that score,
 which no pair above the wanted share can miss.
@@ -25,6 +26,10 @@ from .textform import folded
 
 #: Words of a seed.
 SEED_WORDS = 6
+#: Seeds of each window of an item.
+SEEDS_A_WINDOW = 3
+#: Candidate pairs up to which their ids are sent to the scan of the texts; more meet the texts by shuffle.
+MAX_BROADCAST_PAIRS = 1_000_000
 #: Distinct item n-grams that are sent to every task (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_GRAMS = 2_000_000
 #: About as many item words are sent to every task; more are sent one part of the items after another.
@@ -207,13 +212,11 @@ def leaks(
         hits = hits.join(distinct, "gram", "left_semi")
     hits = cut(hits.select("doc_id", "gram"))
     held = hits.groupBy("gram").agg(F.count("*").alias("docs"))
-    # the rarest gram of each window: windows start at 0..last and hold width grams
-    ranked = grams.join(held, "gram")  # grams that no document holds cannot lead to one
-    counts = grams.join(ranked.select("item_id", "pos", "docs"), ["item_id", "pos"], "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    # the rarest grams of each window, of those that a document holds: windows start at 0..last and hold width grams
     starts = F.sequence(F.greatest(F.col("pos") - F.col("width") + 1, F.lit(0)), F.greatest(F.least(F.col("pos"), F.col("last")), F.lit(0)))
-    in_windows = counts.withColumn("start", F.explode(starts))
+    in_windows = grams.join(held, "gram").withColumn("start", F.explode(starts)).select("item_id", "start", "gram", "docs").distinct()
     window = Window.partitionBy("item_id", "start").orderBy("docs", "gram")
-    seeds = in_windows.withColumn("n", F.row_number().over(window)).where("n = 1 AND docs > 0").select("item_id", "gram").distinct()
+    seeds = in_windows.withColumn("n", F.row_number().over(window)).where(F.col("n") <= SEEDS_A_WINDOW).select("item_id", "gram").distinct()
     pairs = hits.join(seeds, "gram").select("doc_id", "item_id")
     if min_share is not None:
         pairs = pairs.unionByName(near_pairs(doc, item, min_share, n))
@@ -236,6 +239,8 @@ def leaks(
             rows.append((longest, score, score / (MATCH * len(b)) if b else 0.0))
         return pd.DataFrame(rows, columns=["longest_run", "score", "share"])
 
-    texts = pairs.join(doc, "doc_id").join(item.withColumnRenamed("text", "passage"), "item_id")
+    # texts of other documents go through no exchange
+    sized = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
+    texts = doc.join(sized, "doc_id").join(item.withColumnRenamed("text", "passage"), "item_id")
     scored = texts.select("doc_id", "item_id", aligned("text", "passage").alias("a"))
     return scored.groupBy("doc_id", "item_id").agg(F.max("a.longest_run").alias("longest_run"), F.max("a.score").alias("score"), F.max("a.share").alias("share"))

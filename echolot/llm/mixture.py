@@ -8,6 +8,7 @@ more epoch in a seeded order.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -25,6 +26,44 @@ MAX_LEAVES = 100_000
 RANGE_BITS = 12
 
 
+# How byte-level tokenizers part a text before they merge bytes.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose numbers of tokens a task remembers, and their letters at most.
+MAX_PIECES, PIECE_LETTERS = 1_000_000, 64
+
+
+class PieceCounts(dict):
+    """Tokens of each piece met; a byte-level tokenizer never merges across pieces."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= PIECE_LETTERS:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = n
+        return n
+
+
+def counter(path: str):
+    """Function that gives the tokens of each text of a list by the public tokenizer file at path."""
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    before = parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"):
+        pieces, counts = regex.compile(PIECES), PieceCounts(tokenizer)
+        return lambda texts: [sum(map(counts.__getitem__, pieces.findall(t))) for t in texts]
+    return lambda texts: [len(e.ids) for start in range(0, len(texts), 256) for e in tokenizer.encode_batch(texts[start : start + 256], add_special_tokens=False)]
+
+
 def token_count(path: str = TOKENIZER):
     """Arrow UDF: tokens of each text by the public tokenizer file at path; NULL and '' have none."""
 
@@ -33,12 +72,9 @@ def token_count(path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = globals().setdefault("_TOKENIZERS", {})
         if path not in cache:
-            from tokenizers import Tokenizer
-
-            cache[path] = Tokenizer.from_file(path)
-            cache[path].encode_special_tokens = True
+            cache[path] = counter(path)
         codes, distinct = pd.factorize(texts)
-        sizes = [len(e.ids) for start in range(0, len(distinct), 256) for e in cache[path].encode_batch(list(distinct[start : start + 256]), add_special_tokens=False)]
+        sizes = cache[path](list(distinct))
         return pd.Series([sizes[c] if c >= 0 else 0 for c in codes], dtype="int64")
 
     return count
@@ -95,13 +131,15 @@ def budgets(leaves: Mapping[tuple, float], weights: Mapping[tuple, float], total
     return {path: given.get(path, 0.0) for path in leaves}
 
 
-def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFrame, total_tokens: int | None = None, seed: int = 7, even: Sequence[str] = ()) -> DataFrame:
     """(id, levels..., tokens, times, share): the documents of the mixture.
 
     docs has id, the level columns and tokens; targets has the first level's column,
     target_share and max_repeats.  total_tokens: size of the mixture; by default the
     largest at which every source of the targets that has documents reaches its share.
-    times: uses of the document, 1 to max_repeats.  share: target_share.
+    even: levels whose values weigh alike within their parent; others weigh by what they
+    hold.  What a value cannot supply goes to its siblings first, then to those of its
+    parent.  times: uses of the document, 1 to max_repeats.  share: target_share.
 
     Documents without tokens, with a NULL id or with a first level that has no target take
     no part; NULL in further levels is a level value of its own.  A larger total than the
@@ -118,7 +156,7 @@ def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFram
     goal = targets.where(f"{top} IS NOT NULL AND target_share > 0 AND max_repeats > 0").select(top, "target_share", "max_repeats").dropDuplicates([top])
     held = docs.where(F.col(id_col).isNotNull() & (F.col("tokens") > 0)).groupBy(id_col).agg(F.max(F.struct("tokens", *levels)).alias("_b"))
     rows = held.select(id_col, *[F.col(f"_b.{c}").alias(c) for c in levels], F.col("_b.tokens").alias("tokens")).join(F.broadcast(goal), top)  # one row per source
-    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels[1:]})
+    rows = cut(rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels[1:]}))  # a row of numbers and labels for each document
     held = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats"), F.max("target_share").alias("target_share")).limit(MAX_LEAVES + 1).collect()
     if len(held) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves: choose coarser levels")
@@ -128,6 +166,7 @@ def mixed(docs: DataFrame, id_col: str, levels: Sequence[str], targets: DataFram
     for path, cap in caps.items():
         by_source[path[0]] = by_source.get(path[0], 0.0) + cap
     whole = sum(weights.values())
+    weights |= {path[: n + 1]: 1.0 for path in caps for n, c in enumerate(levels) if n and c in even}
     total = float(total_tokens) if total_tokens is not None else min((cap * whole / weights[(s,)] for s, cap in by_source.items()), default=0.0)
     given = budgets(caps, weights, total)
     plan = []
@@ -159,7 +198,11 @@ def counted(docs: DataFrame, id_col: str, text_col: str, levels: Mapping[str, Co
 
 
 def shares(mixture: DataFrame, docs: DataFrame, targets: DataFrame, top: str) -> DataFrame:
-    """Per source of the targets: target and reached share, tokens held and used, documents used, most uses of one document."""
+    """Per source of the targets: target and reached share, tokens held and used, tokens beyond the target, documents used, most uses of one document.
+
+    tokens_over_target is negative for a source that was short and positive for one that
+    took over what others were short of.
+    """
     used = mixture.groupBy(top).agg(
         F.sum(F.col("tokens") * F.col("times")).alias("tokens_used"), F.count("*").alias("documents_used"), F.max("times").alias("most_uses")
     )
@@ -168,5 +211,5 @@ def shares(mixture: DataFrame, docs: DataFrame, targets: DataFrame, top: str) ->
     whole = rows.agg(F.sum("tokens_used").alias("_whole"))
     return rows.crossJoin(F.broadcast(whole)).select(  # one row
         top, "target_share", F.round(F.col("tokens_used") / F.nullif(F.col("_whole"), F.lit(0)), 6).alias("share_reached"),
-        "max_repeats", "most_uses", "documents_used", "tokens_held", "tokens_used",
+        "max_repeats", "most_uses", "documents_used", "tokens_held", "tokens_used", F.round(F.col("tokens_used") - F.col("target_share") * F.col("_whole")).cast("long").alias("tokens_over_target"),
     )

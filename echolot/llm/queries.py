@@ -159,7 +159,7 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest segments of other files for every segment whose id is divisible by 20, searched among all."""
     segments = table(spark, sf_dir, "audio_segments")
     found = vecjoin.nearest(segments, "id", _spectral(), 5, "file_id", queries=F.col("id") % 20 == 0)
-    return found.select("query", "neighbour", "distance", "rank")
+    return found.select("query", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
 
 # --- problem 6 -------------------------------------------------------------
@@ -202,13 +202,24 @@ def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- problem 8 -------------------------------------------------------------
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mixture_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     levels = {"source": mixture.plain_name("source"), "lang": F.coalesce(mixture.plain_name("lang"), F.lit("und"))}
     docs = mixture.counted(table(spark, sf_dir, "documents"), "doc_id", "text", levels)
-    targets = table(spark, sf_dir, "mix_targets").withColumn("source", mixture.plain_name("source"))
+    return docs, table(spark, sf_dir, "mix_targets").withColumn("source", mixture.plain_name("source"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, targets = _mixture_input(spark, sf_dir)
     return mixture.mixed(docs, "doc_id", ["source", "lang"], targets), docs, targets
 
 
+def _filled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A mixture of as many tokens as all sources with a target hold, in which the languages of a source weigh alike: small languages and small sources are short."""
+    docs, targets = _mixture_input(spark, sf_dir)
+    wanted = docs.join(targets, "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
+    return mixture.mixed(docs, "doc_id", ["source", "lang"], targets, total_tokens=wanted, even=["lang"]), docs, targets
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the largest mixture in which every source has its share, with their number of uses."""
     chosen, _, _ = _mixture(spark, sf_dir)
@@ -221,6 +232,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(chosen, docs, targets, "source")
 
 
+def p8_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in a mixture as large as all sources together: shortages go to sibling languages first, then to other sources."""
+    chosen, docs, targets = _filled(spark, sf_dir)
+    return mixture.shares(chosen, docs, targets, "source")
+
+
 # --- problem 9 -------------------------------------------------------------
 
 
@@ -249,6 +266,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_records, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_unmatched, p5_found, p5_neighbours,
-        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p9_found, p9_composition, p9_topics,
+        p6_found, p6_collapsed, p7_found, p7_scores, p8_mixture, p8_shares, p8_filled, p9_found, p9_composition, p9_topics,
     )
 }

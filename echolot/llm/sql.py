@@ -1,5 +1,9 @@
 """SQL for those of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import textform
+
 P1_FOUND = r"""
 WITH f AS (
     SELECT *, regexp_replace(regexp_replace(lower(md5), '[\s\x{a0}{}"''\-]+', '', 'g'), '^md5[:=(]?', '') AS d,
@@ -28,4 +32,38 @@ k AS (SELECT q, r FROM n WHERE dist <= 0.0004 QUALIFY row_number() OVER (PARTITI
 
 P5_FOUND = f"WITH {_P5} SELECT u.q AS id_a, u.r AS id_b FROM k u JOIN k v ON u.q = v.r AND u.r = v.q WHERE u.q < u.r"
 
-SQL = {"p1_found": P1_FOUND, "p5_found": P5_FOUND}
+# p7: words after markup, character form, case and punctuation are put aside; 12 in a row of an item stand in a document
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
+_TWINS = {a: b for a, b in (textform._TWINS | textform.PUNCTUATION_TWINS).items()}
+
+
+def _plain(c: str) -> str:
+    gone = f"regexp_replace({c}, '</?[A-Za-z][^<>]{{0,200}}>|&[A-Za-z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g')"
+    seen = f"regexp_replace(nfc_normalize({gone}), '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+    quoted = "".join(_TWINS).replace("'", "''"), "".join(_TWINS.values()).replace("'", "''")
+    narrow = f"translate({seen}, '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}')"
+    joined = f"replace(replace(replace(replace({narrow}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ß', 'ss')"
+    return f"regexp_extract_all(lower(translate({joined}, '{quoted[0]}', '{quoted[1]}')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams(words: str) -> str:
+    return f"unnest(list_distinct([array_to_string({words}[n : n + 11], ' ') for n in range(1, greatest(len({words}) - 10, 1))]))"
+
+
+P7_FOUND = f"""
+WITH d AS (SELECT doc_id, {_plain('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_plain('passage')} AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, {_grams('w')} AS g FROM d WHERE len(w) >= 12), ig AS (SELECT item_id, {_grams('w')} AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+# p5: every query against all rows
+P5_NEIGHBOURS = f"""
+WITH {_P5.split(', g AS')[0].split(chr(10) + 'g AS')[0].rstrip(',')},
+q AS (SELECT * FROM p WHERE id % 20 = 0),
+n AS (SELECT q.id AS query, p.id AS neighbour, sqrt((q.a - p.a) ** 2 + (q.b - p.b) ** 2 + (q.c - p.c) ** 2 + (q.d - p.d) ** 2) AS d FROM q JOIN p ON q.file_id IS DISTINCT FROM p.file_id AND q.id <> p.id),
+k AS (SELECT query, neighbour, d, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM n)
+SELECT query, neighbour, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5
+"""
+
+SQL = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_neighbours": P5_NEIGHBOURS, "p7_found": P7_FOUND}
