@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Rows the tree is fitted on, at most about.
-SAMPLE_ROWS = 100_000
-#: Index rows a block should hold, and blocks at most (the tree is broadcast: some 20 bytes a block).
+#: Rows the tree is fitted on: so many for each block, at least and at most about.
+SAMPLE_A_BLOCK, MIN_SAMPLE, MAX_SAMPLE = 4, 8192, 2_000_000
+#: Index rows a block should hold, and blocks at most (the tree is broadcast: some 20 bytes a block); beyond, blocks are cut into more tiles.
 BLOCK_ROWS = 1024
-MAX_BLOCKS = 65_536
+MAX_BLOCKS = 524_288
 #: Rows of either side in one tile; larger blocks are cut into several tiles.
 TILE_ROWS = 4096
 #: Queries multiplied at once within a tile.
@@ -194,20 +194,20 @@ def nearest(df: DataFrame, id_col: str, vector: list[Column], k: int, group_col:
     points = points.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).alias("grp"), asks.alias("asks"), *[c.cast("double").alias(x) for c, x in zip(vector, xs)])
     spark = df.sparkSession
     total = points.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    drawn = points.select("grp", *xs).sample(fraction=share, seed=17).limit(2 * SAMPLE_ROWS).toPandas()
+    blocks = min(MAX_BLOCKS, max(1, -(-total // BLOCK_ROWS)))
+    wanted = min(MAX_SAMPLE, max(MIN_SAMPLE, SAMPLE_A_BLOCK * blocks))
+    drawn = points.select("grp", *xs).sample(fraction=min(1.0, wanted / max(total, 1)), seed=17).limit(2 * wanted).toPandas()  # bounded
     sample = drawn[xs].to_numpy(float).reshape(-1, dims)
-    tree = spark.sparkContext.broadcast(BlockTree(sample, min(MAX_BLOCKS, max(1, -(-total // BLOCK_ROWS)))))
+    tree = spark.sparkContext.broadcast(BlockTree(sample, blocks))
 
     same = Window.partitionBy(*xs, "grp").orderBy("id")
     alike = Window.partitionBy(*xs).orderBy("id")
     index = points.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).withColumn("n", F.dense_rank().over(alike)).where(F.col("n") <= 2 * k + 1)
-    index = _blocked(index, tree, dims, F.lit(0.0))
+    index = cut(_blocked(index, tree, dims, F.lit(0.0)))  # counted, then joined
     asking = points.where("asks")
     if max_distance is not None:
         found = _tiled(_blocked(asking, tree, dims, F.lit(float(max_distance))), index, dims, k, float(max_distance))
     else:
-        index = cut(index)
         first = _tiled(_blocked(asking, tree, dims, F.lit(0.0)), index, dims, k, float("inf"))
         reach = first.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("r"))
         # where a query's block has too few rows of other groups, a few thousand sampled rows bound the ball
