@@ -77,7 +77,7 @@ def text_filter(text: str, *columns: str) -> Column:
 
 
 def file_counts(files: DataFrame, tags: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per file the number of tags, of tag fields and of name issues (0 where none): aggregated before joining."""
+    """Per file the number of tags, of tag fields and of name issues (0 where none): each aggregated before it is joined."""
     t = tags.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_tags"), F.count_distinct("field").alias("n_fields"))
     i = issues.groupBy("id").agg(F.count("*").alias("n_issues"))
     return files.select("id").join(t, "id", "left").join(i, "id", "left").na.fill(0, ["n_tags", "n_fields", "n_issues"])
@@ -131,3 +131,12 @@ def review_queues(files: DataFrame, issues: DataFrame, tags: DataFrame, feedback
     decided = decided.join(known.select(F.col("id").alias("right_file_id")), "right_file_id", "left_semi").select("queue", "id")
     counted = issues.select(F.explode(named).alias("queue"), "id").unionByName(tagged).unionByName(decided).groupBy("queue", "id").agg(F.count("*").alias("n"))
     return single.unionByName(counted)
+
+
+def junk_folders(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes): the outermost junk folders with all that lies below them."""
+    inner = F.filter(paths.folders_above(paths.slashed("path")), lambda f: paths.basename(f).isin(*names.JUNK_FOLDERS))
+    # folders come from the root down or from the file up: the outermost is the shortest
+    outer = F.array_sort(F.transform(inner, lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))
+    rows = files.select("size_bytes", F.get(outer, F.lit(0))["f"].alias("folder")).where("folder IS NOT NULL")
+    return rows.groupBy("folder").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))

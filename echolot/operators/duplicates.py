@@ -35,18 +35,35 @@ def summary(files: DataFrame, hash_col: str = "md5") -> DataFrame:
     )
 
 
+#: Up to so many safe folders go into the plan as literals; more are joined on the ancestors of a path.
+MAX_LITERAL_RULES = 200
+
+
 def protected(files: DataFrame, folders: DataFrame, path_col: str = "path", both_ways: bool = False) -> DataFrame:
-    """files with protected_by: the first (rule_order) safe folder a path lies in; both_ways: or that lies below the path.
+    """files with protected_by, protected_order: the first (rule_order, folder) safe folder a path lies in; both_ways: or that lies below the path.
 
-    folders (rule_order, folder) is a rule list and is broadcast.
+    Few rules are tests within the scan of the files.  More are joined by equality: every
+    folder above a path with the rules, and with both_ways every folder above a rule with
+    the path.
     """
-    rules = F.broadcast(folders.select("rule_order", "folder", paths.path_key("folder").alias("_rule")).where("_rule IS NOT NULL"))
+    rules = folders.select("rule_order", "folder", paths.path_key("folder").alias("_rule")).where("_rule IS NOT NULL AND rule_order IS NOT NULL")
+    head = sorted((tuple(r) for r in rules.limit(MAX_LITERAL_RULES + 1).collect()), key=lambda r: (r[0], r[1]))
     keyed = files.withColumn("_key", paths.path_key(path_col))
-    inside = (F.col("_key") == F.col("_rule")) | F.col("_key").startswith(F.concat("_rule", F.lit("/")))
+    if len(head) <= MAX_LITERAL_RULES:
+        first = F.lit(None).cast("struct<rule_order:int,folder:string>")
+        for order, folder, key in reversed(head):
+            inside = (F.col("_key") == key) | F.col("_key").startswith(key + "/")
+            if both_ways:
+                inside = inside | F.lit(key).startswith(F.concat("_key", F.lit("/")))
+            first = F.when(inside, F.struct(F.lit(order).cast("int").alias("rule_order"), F.lit(folder).alias("folder"))).otherwise(first)
+        return keyed.withColumn("_r", first).withColumns({"protected_by": F.col("_r.folder"), "protected_order": F.col("_r.rule_order")}).drop("_key", "_r")
+    above = lambda c: F.array_union(F.array(c), paths.folders_above(c))
+    hits = keyed.select("id", F.explode(above(F.col("_key"))).alias("_rule")).join(rules, "_rule").select("id", "rule_order", "folder")
     if both_ways:
-        inside = inside | F.col("_rule").startswith(F.concat("_key", F.lit("/")))
-    hit = keyed.select("id", "_key").join(rules, inside).groupBy("id").agg(F.min_by("folder", F.struct("rule_order", "folder")).alias("protected_by"))
-    return keyed.join(hit, "id", "left").drop("_key")
+        below = rules.select("rule_order", "folder", F.explode(paths.folders_above(F.col("_rule"))).alias("_key"))
+        hits = hits.unionByName(keyed.select("id", "_key").join(below, "_key").select("id", "rule_order", "folder"))
+    best = hits.groupBy("id").agg(F.min(F.struct("rule_order", "folder")).alias("_r")).select("id", F.col("_r.folder").alias("protected_by"), F.col("_r.rule_order").alias("protected_order"))
+    return keyed.drop("_key").join(best, "id", "left")
 
 
 def keep_order(folder_rank: Column, safe: Column, extensions: Sequence[str]) -> list[Column]:
@@ -63,10 +80,7 @@ def keep_plan(files: DataFrame, folders: DataFrame, hash_col: str = "md5", exten
     """
     rows = files.where(F.col(hash_col).isNotNull() & F.col("scan_error").isNull())
     rows = protected(rows, folders)
-    rules = folders.select(F.col("rule_order"), F.col("folder"))
-    rank = rows.select("id", "protected_by").join(F.broadcast(rules), F.col("protected_by") == F.col("folder"), "left").select("id", F.col("rule_order").alias("folder_rank"))
-    rows = rows.join(rank, "id", "left")
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keep_order(F.col("folder_rank"), F.col("protected_by").isNotNull(), extensions))], F.col("id").alias("k_id"))
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keep_order(F.col("protected_order"), F.col("protected_by").isNotNull(), extensions))], F.col("id").alias("k_id"))
     best = rows.groupBy(F.col(hash_col).alias("hash")).agg(F.count("*").alias("n"), F.min(key).alias("best")).where("n > 1").select("hash", F.col("best.k_id").alias("keep_id"))
     joined = rows.join(best, F.col(hash_col) == F.col("hash"))
     kept = F.col("id") == F.col("keep_id")

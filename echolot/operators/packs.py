@@ -58,14 +58,19 @@ def overlaps(files: DataFrame, min_files: int = 2, threshold: float = 0.95, fan_
     kept = cut(deepest(folders(parts, min_files)))
     held = parts.join(kept.select("folder"), "folder")
     spread = held.groupBy("md5").agg(F.count("*").alias("_f"))
-    opening = held.join(spread.where((F.col("_f") > 1) & (F.col("_f") <= fan_out)), "md5").select("md5", "folder")
-    a, b = opening.withColumnRenamed("folder", "left_folder"), opening.withColumnRenamed("folder", "right_folder")
+    opening = held.join(spread.where((F.col("_f") > 1) & (F.col("_f") <= fan_out)), "md5")
+    a, b = (opening.select("md5", F.col("folder").alias(f"{side}_folder"), F.col("n").alias(f"_n{side[0]}"), F.col("size").alias(f"_s{side[0]}")) for side in ("left", "right"))
     apart = ~paths.is_ancestor(F.col("left_folder"), F.col("right_folder")) & ~paths.is_ancestor(F.col("right_folder"), F.col("left_folder"))
-    pairs = a.join(b, "md5").where((F.col("left_folder") < F.col("right_folder")) & apart).select("left_folder", "right_folder").distinct()
-    lefts = held.select(F.col("folder").alias("left_folder"), "md5", F.col("n").alias("_nl"), F.col("size").alias("_sl"))
-    rights = held.select(F.col("folder").alias("right_folder"), "md5", F.col("n").alias("_nr"), F.col("size").alias("_sr"))
     common = F.least("_nl", "_nr")
-    shared = pairs.join(lefts, "left_folder").join(rights, ["right_folder", "md5"]).groupBy("left_folder", "right_folder").agg(F.sum(common).alias("shared_files"), F.sum(common * F.least("_sl", "_sr")).alias("shared_bytes"))
+    measures = [common.alias("_files"), (common * F.least("_sl", "_sr")).alias("_bytes")]
+    # contents in few folders are measured where they open a pair; of the others only the opened pairs' folders are looked at
+    low = a.join(b, "md5").where((F.col("left_folder") < F.col("right_folder")) & apart).select("left_folder", "right_folder", *measures)
+    wide = held.join(spread.where(F.col("_f") > fan_out).select("md5"), "md5")
+    lefts = wide.select(F.col("folder").alias("left_folder"), "md5", F.col("n").alias("_nl"), F.col("size").alias("_sl"))
+    rights = wide.select(F.col("folder").alias("right_folder"), "md5", F.col("n").alias("_nr"), F.col("size").alias("_sr"))
+    pairs = low.select("left_folder", "right_folder").distinct()
+    high = pairs.join(lefts, "left_folder").join(rights, ["right_folder", "md5"]).select("left_folder", "right_folder", *measures)
+    shared = low.unionByName(high).groupBy("left_folder", "right_folder").agg(F.sum("_files").alias("shared_files"), F.sum("_bytes").alias("shared_bytes"))
     size = kept.select("folder", "bytes", "signature")
     both = shared.join(size.toDF("left_folder", "left_bytes", "_gl"), "left_folder").join(size.toDF("right_folder", "right_bytes", "_gr"), "right_folder").where("_gl <> _gr")
     cover = F.col("shared_bytes") / F.nullif(F.least("left_bytes", "right_bytes"), F.lit(0))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +110,8 @@ def components(edges: DataFrame, left: str = "left_id", right: str = "right_id",
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not found within {max_rounds} rounds")
     labels = e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return nodes.select(F.col("u").alias("id")).join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -123,14 +129,49 @@ def with_feedback(found: DataFrame, feedback: DataFrame) -> DataFrame:
     return found.join(state, ["left_id", "right_id"], "left").where("state IS NULL OR state <> 'rejected'")
 
 
-def descriptor_is_current(mtime: str = "mtime", size: str = "size_bytes") -> Column:
-    """A stored descriptor can be used again: no error, main features known, same file and parameters."""
-    anchors = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (mtime, size, "md5", "path")]
-    known = [F.col(f"d.{c}").isNotNull() for c in ("peak", "rms", "spectral_centroid", "spectral_flatness")]
-    out = F.col("d.error").isNull()
-    for c in (*anchors, *known):
-        out = out & c
-    return out
+def descriptor_is_current(backend_version: str, parameters_hash: str, segment_method: str, max_duration_s: float | None) -> Column:
+    """A stored descriptor (alias d) of a file (alias f) can be used again: no error, spectral features known, same file, method and parameters."""
+    same_file = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("size_bytes", "mtime", "md5")]
+    wanted = {"backend_version": backend_version, "parameters_hash": parameters_hash, "segment_method": segment_method, "max_duration_s": max_duration_s}
+    same_way = [F.col(f"d.{c}").eqNullSafe(F.lit(v)) for c, v in wanted.items()]
+    known = [F.col(f"d.spectral_{c}").isNotNull() for c in ("centroid", "bandwidth", "rolloff", "flatness")]
+    return reduce(lambda a, b: a & b, (*same_file, *same_way, *known), F.col("d.error").isNull())
+
+
+def parameters_hash(parameters: dict) -> str:
+    """A short name of a set of parameters: the same for the same values in any order."""
+    return hashlib.sha256(json.dumps(parameters, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+
+
+def to_describe(files: DataFrame, stored: DataFrame, current: Column, max_files: int | None = None, force: bool = False) -> DataFrame:
+    """Readable files whose descriptor is missing or out of date, in the order of paths; at most max_files, where that is asked for."""
+    f, d = files.where("scan_error IS NULL").alias("f"), stored.alias("d")
+    fresh = d.join(f, F.col("d.file_id") == F.col("f.id")).where(F.lit(not force) & current).select(F.col("f.id").alias("id"))
+    todo = files.where("scan_error IS NULL").join(fresh, "id", "left_anti")
+    return todo if max_files is None else todo.orderBy("path").limit(max_files)
+
+
+def crawl_counts(files: DataFrame, todo: DataFrame, described: DataFrame) -> DataFrame:
+    """One row about a crawl: eligible, reused, described and failed files."""
+    eligible = files.where("scan_error IS NULL").agg(F.count("*").alias("eligible"))
+    asked = todo.agg(F.count("*").alias("asked"))
+    done = described.agg(F.count_if(F.col("error").isNull()).alias("described"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    rows = eligible.crossJoin(asked).crossJoin(done)  # one row each
+    return rows.select("eligible", (F.col("eligible") - F.col("asked")).alias("reused_or_left"), "described", "failed")
+
+
+def cleared(feedback: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Feedback without the given pairs (left_file_id, right_file_id), whichever way round."""
+    gone = pairs.select(F.least("left_file_id", "right_file_id").alias("_a"), F.greatest("left_file_id", "right_file_id").alias("_b")).distinct()
+    keyed = feedback.withColumns({"_a": F.least("left_file_id", "right_file_id"), "_b": F.greatest("left_file_id", "right_file_id")})
+    return keyed.join(gone, ["_a", "_b"], "left_anti").drop("_a", "_b")
+
+
+def feedback_list(feedback: DataFrame, files: DataFrame, states: tuple[str, ...] = ()) -> DataFrame:
+    """Decisions with the paths of both files, of the given states or of all; decisions on unknown files are left out."""
+    rows = feedback.where(F.col("state").isin(*states)) if states else feedback
+    of = lambda side: files.select(F.col("id").alias(f"{side}_file_id"), F.col("path").alias(f"{side}_path"))
+    return rows.join(of("left"), "left_file_id").join(of("right"), "right_file_id")
 
 
 def near_duplicates(found: DataFrame, items: DataFrame, id_col: str, hash_col: str | None = None) -> DataFrame:

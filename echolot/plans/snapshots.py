@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:
     """old with the rows of new put in by key; columns in keep_old (such as created_at) stay as they were.
@@ -112,7 +114,7 @@ def write_plan(tags: DataFrame, embedded: DataFrame, keys: DataFrame) -> DataFra
     keys (field, namespace, key) maps fields to places.  action: 'conflict' for several
     values of one place, 'skip_same' where the place holds the value, 'replace' or 'add'.
     """
-    wanted = tags.select("file_id", "field", "value").join(F.broadcast(keys), "field").select("file_id", "namespace", "key", "value").distinct()
+    wanted = tags.select("file_id", "field", "value").join(small(keys), "field").select("file_id", "namespace", "key", "value").distinct()
     wanted = conflicts(wanted, ["file_id", "namespace", "key"])
     held = embedded.groupBy("file_id", "namespace", "key").agg(F.min("value").alias("existing"))
     rows = wanted.join(held, ["file_id", "namespace", "key"], "left")

@@ -299,8 +299,8 @@ def folder_nesting(spark: SparkSession, sf: str) -> DataFrame:
     return layout.nesting(layout.folder_stats(_files(spark, sf)))
 
 
-@query(f"""WITH {_ST}, p AS (SELECT folder, parent, name, regexp_extract(name, '^[A-Za-z][A-Za-z0-9]*') AS prefix FROM st), r AS (SELECT *, substr(name, length(prefix) + 1) AS rest FROM p),
-    q AS (SELECT folder, parent, prefix, trim(rest, ' -_.+\t\n') AS new_name FROM r WHERE length(prefix) >= 3 AND regexp_matches(rest, '^([\s_.-]|\+\+)')),
+@query(rf"""WITH {_ST}, p AS (SELECT folder, parent, name, regexp_extract(name, '^[A-Za-z][A-Za-z0-9]*') AS prefix FROM st), r AS (SELECT *, substr(name, length(prefix) + 1) AS rest FROM p),
+    q AS (SELECT folder, parent, prefix, trim(rest, ' -_.+' || chr(9) || chr(10)) AS new_name FROM r WHERE length(prefix) >= 3 AND regexp_matches(rest, '^([\s_.-]|\+\+)')),
     z AS (SELECT *, lower(prefix) AS k FROM q WHERE new_name <> '' AND (regexp_matches(prefix, '^[A-Z]{{3,8}}$') OR regexp_matches(prefix, '[0-9]') OR regexp_matches(prefix, '^.+[A-Z]')))
     SELECT parent, min(prefix) OVER w AS prefix, folder, new_name FROM z WINDOW w AS (PARTITION BY parent, k) QUALIFY count(*) OVER w >= 3""")
 def folder_prefixes(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,7 +308,7 @@ def folder_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return layout.common_prefix(layout.folder_stats(_files(spark, sf)))
 
 
-@query(f"""WITH {_ST}, sn_w AS (SELECT folder, trim(name) AS w, substr(trim(name), 2, greatest(length(trim(name)) - 2, 0)) AS i FROM st),
+@query(rf"""WITH {_ST}, sn_w AS (SELECT folder, trim(name) AS w, substr(trim(name), 2, greatest(length(trim(name)) - 2, 0)) AS i FROM st),
     sn_b AS (SELECT folder, w, CASE WHEN left(w, 1) IN ('[', '(') AND right(w, 1) IN (']', ')') AND trim(i) <> '' AND NOT regexp_matches(i, '[\[\]()]') THEN trim(i) ELSE w END AS b FROM sn_w),
     sn_g AS (SELECT *, length(regexp_extract(b, '^[0-9]+')) AS n, regexp_extract(b, '^[0-9]+([\s\-_.]+)', 1) AS gap FROM sn_b),
     sn_c AS (SELECT folder, w, trim(CASE WHEN n > 0 AND gap <> '' AND ((n <= 3 AND (regexp_matches(gap, '[-_.]') OR length(gap) > 1)) OR n = 1 OR left(b, 1) = '0') THEN substr(b, n + length(gap) + 1) ELSE b END, ' -_.') AS new_name FROM sn_g)

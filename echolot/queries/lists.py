@@ -12,7 +12,8 @@ from ..operators import audits, search
 from ..plans import snapshots
 from ..session import table
 from ..sources import readers, schemas
-from .registry import query
+from . import content  # noqa: F401  (its SQL is used here)
+from .registry import SQL, query
 
 _COLS = ", ".join(dsl.LISTED)
 
@@ -40,11 +41,15 @@ def metadata_view(spark: SparkSession, sf: str) -> DataFrame:
     return audits.metadata_view(table(spark, sf, "files"), table(spark, sf, "accepted_tags"), "Door Slam 06.wav")
 
 
-@query("""SELECT f.id, count(t.id) AS n_tags, count(DISTINCT t.field) AS n_fields FROM files f LEFT JOIN accepted_tags t ON t.file_id = f.id GROUP BY f.id""")
+_NI = f"ni AS ({SQL['name_issues']})"
+
+
+@query(f"""WITH {_NI}, i AS (SELECT id, count(*) AS n FROM ni GROUP BY id) SELECT f.id, count(t.id) AS n_tags, count(DISTINCT t.field) AS n_fields, coalesce(any_value(i.n), 0) AS n_issues
+    FROM files f LEFT JOIN accepted_tags t ON t.file_id = f.id LEFT JOIN i ON i.id = f.id GROUP BY f.id""")
 def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tags and fields per file."""
     files = table(spark, sf, "files")
-    return audits.file_counts(files, table(spark, sf, "accepted_tags"), audits.name_issues(files.limit(0))).select("id", "n_tags", "n_fields")
+    return audits.file_counts(files, table(spark, sf, "accepted_tags"), audits.name_issues(files)).select("id", "n_tags", "n_fields", "n_issues")
 
 
 @query("""SELECT 'files' AS metric, count(*) AS value FROM files UNION ALL SELECT 'bytes', CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM files UNION ALL SELECT 'scan_errors', count(scan_error) FROM files
@@ -62,7 +67,11 @@ def review_queues(spark: SparkSession, sf: str) -> DataFrame:
     return audits.file_queues(table(spark, sf, "files"))
 
 
-@query()
+@query(f"""WITH {_NI}, d AS (SELECT md5 FROM files WHERE md5 IS NOT NULL GROUP BY md5 HAVING count(*) > 1)
+    SELECT unnest(list_filter([CASE WHEN scan_error IS NOT NULL THEN 'scan_errors' END, CASE WHEN has_bext = 0 AND has_ixml = 0 THEN 'missing_metadata' END, CASE WHEN has_bext = 0 THEN 'missing_bext' END, CASE WHEN has_ixml = 0 THEN 'missing_ixml' END,
+    CASE WHEN sample_rate NOT IN (44100, 48000, 88200, 96000, 176400, 192000) THEN 'unusual_rates' END, CASE WHEN is_ucs = 1 THEN 'ucs_named' END, CASE WHEN md5 IN (SELECT md5 FROM d) THEN 'duplicates' END], lambda x: x IS NOT NULL)) AS queue, id, 1::BIGINT AS n FROM files
+    UNION ALL SELECT queue, id, count(*) FROM (SELECT unnest(list_filter(['filename_issues', CASE issue WHEN 'path_too_long' THEN 'long_paths' WHEN 'unicode_normalization' THEN 'unicode_normalization' END], lambda x: x IS NOT NULL)) AS queue, id FROM ni
+    UNION ALL SELECT 'db_only_tags', t.file_id FROM accepted_tags t SEMI JOIN files f ON f.id = t.file_id) GROUP BY queue, id""")
 def all_review_queues(spark: SparkSession, sf: str) -> DataFrame:
     """Files in all twelve review queues; decisions on similar files count where their table is stored."""
     files = table(spark, sf, "files")
@@ -81,7 +90,7 @@ def text_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "files").where(audits.text_filter("Rain WAV", "path", "filename")).select("id", "path")
 
 
-_TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_TOK = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS term, len({_TOK.format('text')}) AS length FROM documents), p AS (SELECT term, id, count(*) AS tf, any_value(length) AS length FROM d GROUP BY term, id),
@@ -199,3 +208,18 @@ def conformed_files(spark: SparkSession, sf: str) -> DataFrame:
 def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes for readers."""
     return table(spark, sf, "files").where("size_bytes IS NOT NULL").select("id", names.human_bytes(F.col("size_bytes")).alias("size"))
+
+
+@query(f"""WITH t AS (SELECT id, ' ' || array_to_string({_TOK.format("concat_ws(' ', filename, stem)")}, ' ') || ' ' AS w FROM files)
+    SELECT id FROM t WHERE (contains(w, ' door ') AND contains(w, ' slam ') AND NOT contains(w, ' heavy ')) OR contains(w, ' kettl')""")
+def search_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Query syntax answered from the inverted index: only the postings of the query's words are read."""
+    files = table(spark, sf, "files")
+    index = search.postings(files, "id", "filename", "stem")
+    return search.find(files, "id", "door slam NOT heavy OR kettl*", "filename", "stem", index=index).select("id")
+
+
+@query("""SELECT id FROM files WHERE contains(lower(filename), '"door') OR contains(lower(stem), '"door') OR contains(lower(path), '"door')""")
+def search_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A query with an open quote is looked for as it stands."""
+    return search.find(table(spark, sf, "files"), "id", '"door', "filename", "stem", "path").select("id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, paths, values
 from ..operators import tags
 from ..plans import snapshots
-from ..session import table
+from ..session import small, table
 from . import registry as R
 from .registry import query
 
@@ -30,7 +30,7 @@ def ucs_validation(spark: SparkSession, sf: str) -> DataFrame:
     entries = table(spark, sf, "ucs_entries").select(F.upper(F.trim("cat_short")).alias("category"), F.upper(F.trim("subcategory")).alias("subcategory")).distinct().withColumn("hit", F.lit(True))
     rows = table(spark, sf, "files").select(names.ucs_parts(F.col("stem")).alias("u")).where("u.is_ucs").select("u.category", "u.subcategory")
     rows = rows.groupBy("category", "subcategory").agg(F.count("*").alias("files"))
-    return rows.join(F.broadcast(entries), ["category", "subcategory"], "left").select("category", "subcategory", "files", F.col("hit").isNotNull().alias("in_catalog"))
+    return rows.join(small(entries), ["category", "subcategory"], "left").select("category", "subcategory", "files", F.col("hit").isNotNull().alias("in_catalog"))
 
 
 @query("SELECT category, count(*) AS entries, count(DISTINCT cat_short) AS codes, CAST(sum(len(synonyms)) AS BIGINT) AS synonyms, count(explanations) AS explained FROM ucs_entries GROUP BY category")
@@ -170,7 +170,7 @@ def embed_plan(spark: SparkSession, sf: str) -> DataFrame:
     places = [(f, n, k) for f, ks in values.EMBEDDED_KEYS.items() for n, k in ks]
     keys = spark.createDataFrame(places, "field string, namespace string, key string")
     rows = table(spark, sf, "accepted_tags").where("value IS NOT NULL").withColumn("field", values.canonical_field(F.col("field")))
-    held = rows.where("confidence < 0.2").join(F.broadcast(keys), "field").select("file_id", "namespace", "key", "value")
+    held = rows.where("confidence < 0.2").join(small(keys), "field").select("file_id", "namespace", "key", "value")
     return snapshots.write_plan(rows.where("confidence >= 0.2"), held, keys)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Defaults set only where a session is made here; a given session keeps its own.
 DEFAULTS = {
@@ -18,6 +21,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -49,7 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"echolot-checkpoints-{os.getuid()}"))
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="echolot-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,6 +65,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which ``small`` broadcasts a table.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df as the broadcast side of a join if it has at most so many rows, which is looked up; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")

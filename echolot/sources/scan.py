@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -16,8 +16,17 @@ _AUDIO = ("sample_rate", "bit_depth", "channels", "duration_s", "subtype")
 _FLAGS = ("has_bext", "has_ixml", "has_riff_info", "has_adm", "has_cue_markers", "has_sampler")
 
 
-def enriched(rows: DataFrame, mode: str, now: str) -> DataFrame:
-    """Listed rows (with content) as index rows: header fields, flags, hash, category name; only what the mode asks for is computed."""
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their place (from 1) in the order of a column: ranges are sorted each by itself, and the counts of those before are added."""
+    sorted_ = cut(rows.orderBy(order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_.groupBy(part.alias("_p")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"))  # a row per partition
+    return sorted_.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + place + 1).drop("_p", "_before", "_at")
+
+
+def enriched(rows: DataFrame, mode: str, now: str, kept: list[str] | None = None) -> DataFrame:
+    """Listed rows (with content) as index rows: header fields, flags, hash, category name, and kept columns; only what the mode asks for is computed."""
     parts = snapshots.MODES[mode]
     at = F.lit(now).cast("timestamp_ntz")
     i = F.col("_i")
@@ -28,7 +37,7 @@ def enriched(rows: DataFrame, mode: str, now: str) -> DataFrame:
         "path", "filename", "stem", "extension", "size_bytes", "mtime", known("hash" in parts, F.md5("content")).alias("md5"), *[known("audio" in parts, i[c]).alias(c) for c in _AUDIO],
         *[known("metadata" in parts, i[c]).alias(c) for c in _FLAGS], known("metadata" in parts, F.to_json(F.filter(named, lambda x: x.isNotNull()))).alias("metadata_sources"),
         names.ucs_parts(F.col("stem"))["is_ucs"].cast("int").alias("is_ucs"), i["error"].alias("scan_error"), known("hash" in parts, at).alias("hash_scanned_at"),
-        known("audio" in parts, at).alias("audio_scanned_at"), known("metadata" in parts, at).alias("metadata_scanned_at"), at.alias("scanned_at"),
+        known("audio" in parts, at).alias("audio_scanned_at"), known("metadata" in parts, at).alias("metadata_scanned_at"), at.alias("scanned_at"), *(kept or ()),
     )
     return out.withColumn("id", F.lit(None).cast("long"))
 
@@ -44,16 +53,11 @@ def scan(spark: SparkSession, root: str, files: DataFrame, issues: DataFrame, fi
     todo = snapshots.to_scan(readers.listing(spark, root), current, mode, force).select("path")
     read = readers.listing(spark, root, with_content=True).join(todo, "path", "left_semi")
     embedded = "metadata" in snapshots.MODES[mode]
-    new = enriched(read, mode, now)
-    if embedded:
-        new = new.join(read.select("path", riff.embedded_fields("content").alias("_fields")), "path")
-    new = cut(new)  # files are read once
+    new = cut(enriched(read.withColumn("_fields", riff.embedded_fields("content")) if embedded else read, mode, now, ["_fields"] if embedded else []))  # contents are read once
     last = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     old_ids = current.select("path", F.col("id").alias("_old"))
     with_ids = new.drop("id").join(old_ids, "path", "left")
-    fresh = with_ids.where("_old IS NULL").select("path").orderBy("path")
-    # zipWithIndex numbers a sorted set without gathering it in one task
-    numbers = fresh.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("path string, _n long")
+    numbers = numbered(with_ids.where("_old IS NULL").select("path"), "path", "_n")
     with_ids = with_ids.join(numbers, "path", "left").crossJoin(F.broadcast(last)).withColumn("id", F.coalesce("_old", F.col("_last") + F.col("_n"))).drop("_old", "_n", "_last")  # one row
     with_ids = cut(with_ids)
     index = snapshots.upsert(current, schemas.conformed(with_ids, "files"), ["path"])

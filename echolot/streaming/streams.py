@@ -60,14 +60,23 @@ class SnapshotSink:
         p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def newest(self, below: int | None = None) -> int | None:
+        """The newest complete version (below a batch's own), None before the first."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(str(self.folder))
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        held = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        versions = sorted((int(n[2:]) for n in held if n.startswith("v=") and n[2:].isdigit()), reverse=True)
+        return next((v for v in versions if (below is None or v < below) and self._exists(self._path(v))), None)
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path(version))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         new = latest(batch, self.keys, [F.col(c) for c in self.order])
-        before = self._path(batch_id - 1)
-        if batch_id > 0 and self._exists(before):
-            new = upsert(self.read(batch_id - 1), new, self.keys)
+        before = self.newest(batch_id)
+        if before is not None:
+            new = upsert(self.read(before), new, self.keys)
         new.write.mode("overwrite").parquet(self._path(batch_id))
 
     def writer(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
