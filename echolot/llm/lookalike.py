@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, small
 from .textform import consistent_col
 
 
@@ -26,16 +27,18 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, case: str = "keep
     """(id_a, id_b) of rows whose texts differ as stored but have one consistent form, id_a < id_b.
 
     Rows with NULL text or id take no part; texts equal as stored are no pair, a pair
-    comes once (repeated rows add nothing); an empty table gives an empty result.  Forms
-    with one stored text, however many rows hold it, are left out by an aggregation with
-    map-side combining; of the others different texts are paired, not rows, and pairs of
-    texts then meet their rows.  The number of rows is that of the pairs asked for;
-    ``lookalike_classes`` is the linear form.
+    comes once (repeated rows add nothing); an empty table gives an empty result.
+
+    Of two texts with one form at least one is not written in that form.  Such texts are
+    found in one narrow pass and kept; the rows written in one of their forms join them by
+    equality of text and form, without normalising again.  Of these rows different texts
+    are paired, not rows, and pairs of texts then meet their rows.  The number of rows is
+    that of the pairs asked for; ``lookalike_classes`` is the linear form.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("form", consistent_col("text", case))
-    several = rows.groupBy("form").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where("_lo <> _hi").select("form")
-    told = rows.join(several, "form").distinct()
+    other = cut(rows.withColumn("form", consistent_col("text", case)).where("text <> form"))
+    # a form is its own form
+    told = other.unionByName(rows.join(small(other.select("form").distinct()), F.col("text") == F.col("form"))).distinct()
     texts = told.select("form", "text").distinct()
     pairs = texts.select("form", F.col("text").alias("text_a")).join(texts.select("form", F.col("text").alias("text_b")), "form").where("text_a <> text_b")
     left = told.select("form", F.col("text").alias("text_a"), F.col("id").alias("id_a")).join(pairs, ["form", "text_a"])
