@@ -34,39 +34,66 @@ MAX_BROADCAST_PAIRS = 1_000_000
 MAX_BROADCAST_GRAMS = 2_000_000
 #: About as many item words are sent to every task; more are sent one part of the items after another.
 MAX_BROADCAST_WORDS = 2_000_000
+#: Words of texts whose n-grams are made at once.
+BATCH_WORDS = 500_000
 #: Smith-Waterman scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _TAGS = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};|&#\d{1,6};")
 _WORDS = re.compile(r"[^\W_]+")
+_PLAIN = re.compile(r"[a-z0-9]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     """Words of a text: markup tags dropped, consistent form, case folded, punctuation and blanks as borders."""
-    return _WORDS.findall(folded(_TAGS.sub(" ", text))) if text else []
+    if not text:
+        return []
+    if text.isascii():
+        # plain ASCII is its own consistent form but for blanks
+        return _PLAIN.findall((_TAGS.sub(" ", text) if "<" in text or "&" in text else text).lower())
+    return _WORDS.findall(folded(_TAGS.sub(" ", text)))
 
 
-def gram_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """64-bit hash of each run of n words (int64); known: hashes of words met before."""
-    if len(words) < n:
+class Hashes(dict):
+    """64-bit hash of each word met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash (int64) of each run of n word hashes."""
+    if len(codes) < n:
         return np.zeros(0, dtype=np.int64)
-    codes = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = known.get(w)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        codes[i] = h
-    total = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    total = np.zeros(len(codes) - n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            total = total * _BASE + codes[j : len(words) - n + 1 + j]
+            total = total * _BASE + codes[j : len(codes) - n + 1 + j]
             total ^= total >> np.uint64(29)
     return total.view(np.int64)
 
 
+def grams_of(texts: pd.Series, n: int, known: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions of texts, hashes of the runs of n words in them), some BATCH_WORDS words at a time; no run crosses from one text to the next."""
+    at = 0
+    texts = texts.tolist()
+    while at < len(texts):
+        codes, lengths, first = [], [], at
+        while at < len(texts) and len(codes) < BATCH_WORDS:
+            words = words_of(texts[at])
+            codes += map(known.__getitem__, words)
+            lengths.append(len(words))
+            at += 1
+        grams = gram_hashes(np.array(codes, dtype=np.uint64), n)
+        text = np.repeat(np.arange(first, at), lengths)
+        whole = text[: len(grams)] == text[n - 1 : n - 1 + len(grams)]
+        yield text[: len(grams)][whole], grams[whole]
+
+
 def alignment(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """(longest common run of words, best local alignment score) of two sequences of word codes."""
     longest = best = 0
@@ -177,11 +204,11 @@ def leaks(
     doc_type, item_type = dict(doc.dtypes)["doc_id"], dict(item.dtypes)["item_id"]
 
     def item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Hashes()
         for batch in batches:
             for i, text in zip(batch["item_id"], batch["text"]):
                 words = words_of(text)
-                grams = gram_hashes(words, n, known)
+                grams = gram_hashes(np.array([known[w] for w in words], dtype=np.uint64), n)
                 if len(grams):
                     per_window = max(1, min(min_run, len(words)) - n + 1)
                     yield pd.DataFrame({"item_id": i, "pos": np.arange(len(grams)), "last": len(grams) - per_window, "width": per_window, "gram": grams})
@@ -192,20 +219,15 @@ def leaks(
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(head) if len(head) <= MAX_BROADCAST_GRAMS else None)
 
     def doc_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Hashes()
         wanted = sent.value
         for batch in batches:
-            ids, found = [], []
-            for d, text in zip(batch["doc_id"], batch["text"]):
-                h = np.unique(gram_hashes(words_of(text), n, known))
-                if wanted is not None and len(h):
-                    at = np.searchsorted(wanted, h)
-                    at[at == len(wanted)] = 0
-                    h = h[wanted[at] == h] if len(wanted) else h[:0]
-                ids += [d] * len(h)
-                found.append(h)
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "gram": np.concatenate(found)})
+            for at, h in grams_of(batch["text"], n, known):
+                if wanted is not None:
+                    place = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                    told = wanted[place] == h if len(wanted) else np.zeros(len(h), dtype=bool)
+                    at, h = at[told], h[told]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at], "gram": h}).drop_duplicates()
 
     hits = doc.mapInPandas(doc_grams, f"doc_id {doc_type}, gram long")
     if len(head) > MAX_BROADCAST_GRAMS:
