@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import containers
+
 FLAG_CHUNKS = {b"bext": "has_bext", b"iXML": "has_ixml", b"axml": "has_adm", b"chna": "has_adm", b"cue ": "has_cue_markers", b"smpl": "has_sampler"}
 
 
@@ -36,6 +38,8 @@ def info(data: bytes) -> dict:
     """Format and flags of a file; 'error' tells what is wrong."""
     out: dict = {f: 0 for f in (*FLAG_CHUNKS.values(), "has_riff_info")} | dict.fromkeys(("sample_rate", "bit_depth", "channels", "duration_s", "subtype", "error"))
     fmt = size = None
+    if (other := containers.info(data)) is not None:
+        return out | other
     for name, body in chunks(data):
         if name == b"fmt " and len(body) >= 16:
             fmt = struct.unpack_from("<HHIIHH", body)
@@ -97,7 +101,7 @@ def fields(data: bytes) -> list[tuple[str, str, str]]:
                 size = struct.unpack_from("<I", body, at + 4)[0]
                 out.append(("riff_info", body[at : at + 4].decode("ascii", "ignore").lower(), text(body[at + 8 : at + 8 + size])))
                 at += 8 + size + size % 2
-    return [x for x in out if x[2]]
+    return [x for x in out if x[2]] + containers.fields(data)
 
 
 INFO = T.StructType([
