@@ -83,7 +83,7 @@ def repaired(text: str) -> str:
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence: consistent form, case folded, without numbers; lines end sentences unless the next is indented."""
     text = re.sub(_WRAPPED, " ", re.sub(_TAGS, "\n", repaired(text)))
-    split = (_WORDS.findall(folded(s)) for s in re.split(_BREAKS, text))
+    split = (_WORDS.findall(s.lower() if s.isascii() else folded(s)) for s in re.split(_BREAKS, text))
     return [s for s in split if s]
 
 
@@ -241,9 +241,9 @@ class Model:
             like[first : last + 1] += np.add.reduceat(self.log_phi[rows[a:b]], np.maximum(part.starts[first : last + 1], a) - a, axis=0)
         like -= like.max(axis=1, keepdims=True)
         theta = np.ones((len(part.doc_starts), len(self.alpha)), dtype=np.float32)
+        np.exp(like, out=like)  # 1 for the likeliest topic
         for _ in range(INNER):
-            q = like + np.log(theta)[part.doc_of]
-            np.exp(q - q.max(axis=1, keepdims=True), out=q)
+            q = like * theta[part.doc_of]
             q /= q.sum(axis=1, keepdims=True)
             held = np.add.reduceat(q, part.doc_starts, axis=0)
             theta = held + self.alpha
@@ -251,20 +251,28 @@ class Model:
 
 
 def _summed(bags: DataFrame, names: list[str], gather) -> pd.DataFrame:
-    """Sums over all documents by slot: gather adds to a table by slots for each slice; a row per slot in use comes back."""
+    """Sums over all documents by slot: gather gives (slots, table of names by slots) for each slice; a row per slot in use comes back."""
     fields = [("slot", pa.int32()), *[(n, pa.float64()) for n in names]]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        held: np.ndarray | None = None
+        total = np.zeros((len(names), 0))
         add = gather()
         for _, part in slices(batches):
             for slot_rows, table in add(part):
-                for k in range(table.shape[1]):
-                    column = total.setdefault(k, np.zeros(SLOTS))
-                    column[slot_rows] += table[:, k]
-        if total:
-            used = np.flatnonzero(sum(np.abs(c) for c in total.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[k][used]) for k in range(len(names))]], schema=pa.schema(fields))
+                if held is None:
+                    held, total = slot_rows, table.astype(float)
+                elif held is slot_rows:
+                    total += table
+                else:
+                    merged, at = np.unique(np.concatenate([held, slot_rows]), return_inverse=True)
+                    both = np.zeros((len(names), len(merged)))
+                    both[:, at[: len(held)]] = total
+                    both[:, at[len(held) :]] += table
+                    held, total = merged, both
+        if held is not None:
+            used = total.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(held[used].astype(np.int32)), *[pa.array(row[used]) for row in total]], schema=pa.schema(fields))
 
     parts = bags.select("terms", "sizes").mapInArrow(partial, ", ".join(["slot int", *[f"{n} double" for n in names]]))
     return parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).orderBy("slot").toPandas()  # at most SLOTS rows
@@ -278,7 +286,7 @@ def _documents() -> object:
         held = np.unique(sentence * SLOTS + part.terms)
         pairs, n = np.unique(part.doc_of[held // SLOTS] * SLOTS + held % SLOTS, return_counts=True)
         slot, back = np.unique(pairs % SLOTS, return_inverse=True)
-        yield slot, np.stack([np.bincount(back, n == 1, len(slot)), np.bincount(back, n > 1, len(slot))], axis=1)
+        yield slot, np.stack([np.bincount(back, n == 1, len(slot)), np.bincount(back, n > 1, len(slot))])
 
     return add
 
@@ -359,10 +367,9 @@ def _expected_counts(bags: DataFrame, model: Model) -> np.ndarray:
         def add(part: Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             q, _ = held.infer(part)
             rows = held.place[part.terms]
-            low, high = int(rows.min()), int(rows.max()) + 1
             by_topic = np.ascontiguousarray((q * part.weight[part.doc_of][:, None]).T)
             sentence = np.repeat(np.arange(len(part.sizes)), part.sizes)
-            yield held.slots[low:high], np.stack([np.bincount(rows - low, t[sentence], high - low) for t in by_topic], axis=1)
+            yield held.slots, np.stack([np.bincount(rows, t[sentence], len(held.slots)) for t in by_topic])
 
         return add
 
