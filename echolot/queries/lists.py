@@ -192,10 +192,12 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.job_states(log)
 
 
-@query()
+@query("SELECT f.id, f.path, t.field, t.value, t.source, t.confidence FROM files f JOIN accepted_tags t ON t.file_id = f.id")
 def export_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with their tags as JSON."""
-    return readers.export_rows(table(spark, sf, "files").select("id", "path", "filename"), table(spark, sf, "accepted_tags"))
+    """Files with their tags as JSON, read back tag by tag."""
+    rows = readers.export_rows(table(spark, sf, "files").select("id", "path", "filename"), table(spark, sf, "accepted_tags"))
+    read = F.from_json("tags", "array<struct<field:string,value:string,source:string,confidence:double>>")
+    return rows.select("id", "path", F.explode(read).alias("t")).select("id", "path", "t.*")
 
 
 @query("SELECT count(*) AS n, count(md5) AS hashed FROM files")
