@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ MAX_BROADCAST_GRAMS = 2_000_000
 MAX_BROADCAST_WORDS = 2_000_000
 #: Words of texts whose n-grams are made at once.
 BATCH_WORDS = 500_000
+#: Words times items up to which their uses are held as a table.
+MAX_TABLE = 20_000_000
 #: Smith-Waterman scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -126,6 +129,12 @@ class Passages:
         self.holder = np.repeat(np.arange(len(counted)), [len(w) for w, _ in counted])[order]
         self.times = np.concatenate([n for _, n in counted])[order] if counted else words
         self.starts = np.searchsorted(words[order], np.arange(len(self.codes) + 1))
+        # uses of each word in each item, as a table where that is small
+        self.table = None
+        if len(self.codes) * len(items) <= MAX_TABLE:
+            self.table = np.zeros((len(self.codes), len(items)), dtype=np.int32)
+            for i, (w, n) in enumerate(counted):
+                self.table[w, i] = n
 
     def near(self, words: list[str]) -> list[int]:
         """Every item whose alignment with the text scores at least min_share, and few others.
@@ -134,14 +143,17 @@ class Passages:
         the text (or of the item) where a word in common counts MATCH and any other costs
         the cheaper of a mismatch and a gap.
         """
-        text = np.array([self.codes.get(w, -1) for w in words], dtype=np.int64)
+        text = np.fromiter(map(self.codes.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         held, n = np.unique(text[text >= 0], return_counts=True)
         if not len(held):
             return []
-        spans = [slice(self.starts[w], self.starts[w + 1]) for w in held]
-        holder = np.concatenate([self.holder[s] for s in spans])
-        common = np.concatenate([np.minimum(self.times[s], k) for s, k in zip(spans, n)])
-        shared = np.bincount(holder, common, len(self.items))
+        if self.table is not None:
+            shared = np.minimum(self.table[held], n[:, None]).sum(axis=0)
+        else:
+            spans = [slice(self.starts[w], self.starts[w + 1]) for w in held]
+            holder = np.concatenate([self.holder[s] for s in spans])
+            common = np.concatenate([np.minimum(self.times[s], k) for s, k in zip(spans, n)])
+            shared = np.bincount(holder, common, len(self.items))
         found = np.flatnonzero(MATCH * shared >= self.least)
         return [int(i) for i in found if best_stretch(np.isin(text, self.items[i])) >= self.least[i] and best_stretch(np.isin(self.items[i], held)) >= self.least[i]]
 

@@ -359,6 +359,17 @@ def test_mixture_meets_shares_and_caps(spark):
     assert mixture.mixed(df.limit(0), "doc_id", ["source", "lang"], targets).count() == 0
 
 
+def test_bounds_by_table_and_by_lists_agree(monkeypatch):
+    rng = random.Random(3)
+    items = [rng.choices("abcdefghij", k=rng.randint(3, 9)) for _ in range(40)]
+    texts = [rng.choices("abcdefghijklm", k=30) for _ in range(60)] + [[]]
+    table = leakage.Passages(items, 0.6)
+    monkeypatch.setattr(leakage, "MAX_TABLE", 0)
+    lists = leakage.Passages(items, 0.6)
+    assert table.table is not None and lists.table is None
+    assert [table.near(t) for t in texts] == [lists.near(t) for t in texts]
+
+
 def test_labels_and_tokens(spark):
     df = spark.createDataFrame([(" Pack Readme ", "hello world"), ("field-log", ""), ("  ", None), (None, "<|endoftext|>")], "s string, t string")
     assert [r[0] for r in df.select(mixture.plain_name("s")).collect()] == ["pack_readme", "field_log", None, None]
