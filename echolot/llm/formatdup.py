@@ -1,8 +1,9 @@
 """Duplicates hidden by formatting differences (problem 6).
 
 Canonical text, hashed to 128 bits and aggregated with map-side combining.  A second,
-independent hash tells different texts under one 128-bit hash apart, and the least and
-the greatest text of each group are compared, so that no two texts can pass as one.
+independent hash tells different texts under one 128-bit hash apart.  Collision checks:
+a third signature of the text must be one for each group, and where the collapsed
+records come out, the texts themselves are compared.
 """
 
 from __future__ import annotations
@@ -36,30 +37,36 @@ def plain_list(col: Column | str) -> Column:
     return F.array_join(F.array_sort(F.filter(parts, lambda x: x != "")), ",")
 
 
-def copy_groups(rows: DataFrame, keys: list[str], id_col: str, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hash and copy_id of each row, groups) for rows that agree in all key columns; rows with NULL id take no part.
+def _hashed(rows: DataFrame, keys: list[str], id_col: str, kept: list[str]) -> DataFrame:
+    """Rows with copy_id, the canonical text t, its hashes h and h2 and its signature; kept columns under names of their own."""
+    # known never to be NULL, so that no filter is put below one use of the shuffle only
+    text = F.coalesce(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}), F.lit(""))
+    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("copy_id"), text.alias("t"), *[F.col(c).alias(f"_k_{c}") for c in kept])
+    signature = F.shiftleft(F.crc32("t"), 31).bitwiseXOR(F.hash("t").cast("long"))
+    return base.withColumns({"h": F.coalesce(F.unhex(F.md5("t")), F.lit(b"")), "h2": F.xxhash64("t"), "sign": signature})
 
-    groups: the keys' hash, first_id (smallest id), copies (distinct ids), n_rows, and the
-    kept columns of the row first_id (of rows stored twice with different content the
-    least).  NULL keys agree with NULL and differ from ''.  Should two texts ever agree in
-    both hashes, the query fails and says so instead of counting them as one.
-    """
-    text = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
-    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("copy_id"), text.alias("t"), *[F.col(c).alias(f"_k_{c}") for c in kept or ()])
-    hashed = base.withColumns({"h": F.unhex(F.md5("t")), "h2": F.xxhash64("t")})
-    first = [F.min(F.struct("copy_id", *[f"_k_{c}" for c in kept])).alias("_first")] if kept else []
-    # distinct ids first (rows stored twice), combined map-side, then the groups
-    ids = hashed.groupBy("h", "h2", "copy_id").agg(F.count("*").alias("stored"), F.min("t").alias("_lo"), F.max("t").alias("_hi"), *first)
-    again = [F.min("_first").alias("_first")] if kept else []
-    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *again)
-    checked = F.when(F.col("_lo") == F.col("_hi"), F.col("first_id")).otherwise(F.raise_error(F.lit("two texts under one hash")).cast(groups.schema["first_id"].dataType))
-    carried = [F.col(f"_first._k_{c}").alias(c) for c in kept or ()]
-    return ids.select("h", "h2", "copy_id"), groups.select("h", "h2", checked.alias("first_id"), "copies", "n_rows", *carried)
+
+def _unless(clash: Column, value: str, of: DataFrame) -> Column:
+    """value; the query fails and says so instead of counting different texts as one."""
+    return F.when(clash, F.raise_error(F.lit("two texts under one hash")).cast(of.schema[value].dataType)).otherwise(F.col(value))
 
 
 def collapsed(rows: DataFrame, keys: list[str], id_col: str, kept: list[str] | None = None) -> DataFrame:
-    """(first_id, copies, n_rows, kept...): each set of rows that say the same, collapsed into its first row, with its number of copies."""
-    return copy_groups(rows, keys, id_col, kept)[1].select("first_id", "copies", "n_rows", *(kept or ()))
+    """(first_id, copies, n_rows, kept...): each set of rows that agree in all key columns, collapsed into its first row, with its number of copies.
+
+    first_id is the smallest id, copies the number of distinct ids, n_rows that of rows;
+    kept columns are those of the row first_id (of rows stored twice with different content
+    the least).  NULL keys agree with NULL and differ from ''; rows with NULL id take no
+    part.  The least and the greatest text of each set are compared: should two texts ever
+    agree in all hashes, the query fails.
+    """
+    kept = kept or []
+    hashed = _hashed(rows, keys, id_col, kept)
+    first = F.min(F.struct("copy_id", *[f"_k_{c}" for c in kept])).alias("first")
+    # distinct ids first (rows stored twice), combined map-side, then the groups
+    ids = hashed.groupBy("h", "h2", "copy_id").agg(F.count("*").alias("stored"), F.min("t").alias("lo"), F.max("t").alias("hi"), first)
+    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.sum("stored").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"))
+    return groups.select(_unless(F.col("lo") != F.col("hi"), "first_id", groups).alias("first_id"), "copies", "n_rows", *[F.col(f"first._k_{c}").alias(c) for c in kept])
 
 
 def copies(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -69,6 +76,8 @@ def copies(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     groups are aggregated first; only groups with copies meet the rows again, and AQE
     splits a group that holds a large share of them.
     """
-    ids, groups = copy_groups(rows, keys, id_col)
-    several = groups.where("copies > 1").select("h", "h2", "first_id")
-    return ids.join(several, ["h", "h2"]).where("copy_id <> first_id").select("first_id", "copy_id")
+    ids = _hashed(rows, keys, id_col, []).select("h", "h2", "sign", "copy_id").distinct()
+    groups = ids.groupBy("h", "h2").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"), F.min("sign").alias("sign"), F.max("sign").alias("other")).where("copies > 1")
+    several = groups.select("h", "h2", "sign", _unless(F.col("sign") != F.col("other"), "first_id", groups).alias("first_id"))
+    # the same rows again: the shuffle is used twice
+    return ids.join(several, ["h", "h2", "sign"]).where("copy_id <> first_id").select("first_id", "copy_id")

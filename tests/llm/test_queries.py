@@ -48,3 +48,10 @@ def test_scans_read_only_what_is_needed(spark, sf, name, table, columns):
 def test_survivors_need_no_window(spark, sf):
     plan = QUERIES["p1_found"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_tags_are_read_and_shuffled_once(spark, sf):
+    df = QUERIES["p6_found"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Scan parquet") == 1
