@@ -178,6 +178,17 @@ def proposal_counts(spark: SparkSession, sf: str) -> DataFrame:
     return workbench.proposal_counts(tagging.tag_proposals(spark, sf), table(spark, sf, "ucs_entries"))
 
 
+_OPENED = SQL["tag_proposals"][: SQL["tag_proposals"].index("o AS (SELECT * FROM h WHERE ")].rstrip().rstrip(",")
+_OPENS = f"(ctx OR source = 'accepted_category' OR (n <= 3 AND word NOT IN ({tagging._BROAD})))"
+
+
+@query(f"""{_OPENED}, g AS (SELECT source, word, max(n) AS catalog_matches, count(*) FILTER ({_OPENS}) AS opened, count(*) FILTER (NOT {_OPENS}) AS blocked FROM h GROUP BY source, word)
+    SELECT * FROM (SELECT 'opened' AS kind, * FROM g WHERE opened > 0 ORDER BY opened DESC, catalog_matches DESC, source, word LIMIT 25) UNION ALL SELECT * FROM (SELECT 'blocked' AS kind, * FROM g WHERE blocked > 0 ORDER BY blocked DESC, catalog_matches DESC, source, word LIMIT 25)""")
+def opening_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 words that open most catalog entries, and the 25 most often kept from it."""
+    return tags.opening_diagnostics(tags.openings(table(spark, sf, "files"), table(spark, sf, "accepted_tags"), table(spark, sf, "ucs_entries"), tagging.ROOT))
+
+
 @query("""WITH l AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id)
     SELECT job_id, 'interrupted' AS status FROM l WHERE last = 'view'""")
 def interrupted_jobs(spark: SparkSession, sf: str) -> DataFrame:
