@@ -38,13 +38,20 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
 _TWINS = {a: b for a, b in (textform._TWINS | textform.PUNCTUATION_TWINS).items()}
 
 
-def _plain(c: str) -> str:
-    gone = f"regexp_replace({c}, '</?[A-Za-z][^<>]{{0,200}}>|&[A-Za-z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g')"
-    seen = f"regexp_replace(nfc_normalize({gone}), '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+def _form(c: str) -> str:
+    """The consistent form as far as the tables need it: composed, without ignorable characters, blanks, widths, ligatures and look-alikes as one."""
+    blanks = f"regexp_replace({c}, '[\\x{{09}}-\\x{{0D}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    seen = f"regexp_replace({blanks}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
     quoted = "".join(_TWINS).replace("'", "''"), "".join(_TWINS.values()).replace("'", "''")
     narrow = f"translate({seen}, '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}')"
-    joined = f"replace(replace(replace(replace({narrow}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ß', 'ss')"
-    return f"regexp_extract_all(lower(translate({joined}, '{quoted[0]}', '{quoted[1]}')), '[\\p{{L}}\\p{{N}}]+')"
+    for joined, apart in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("…", "...")):
+        narrow = f"replace({narrow}, '{joined}', '{apart}')"
+    return f"nfc_normalize(translate(nfc_normalize({narrow}), '{quoted[0]}', '{quoted[1]}'))"
+
+
+def _plain(c: str) -> str:
+    gone = f"regexp_replace({c}, '</?[A-Za-z][^<>]{{0,200}}>|&[A-Za-z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g')"
+    return f"regexp_extract_all(replace(lower({_form(gone)}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _grams(words: str) -> str:
@@ -57,6 +64,22 @@ dg AS (SELECT doc_id, {_grams('w')} AS g FROM d WHERE len(w) >= 12), ig AS (SELE
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
+# p6: equal texts have equal forms; the forms themselves do not come out
+def _bare(c: str) -> str:
+    """Letters, marks and digits in small form; a point stays between two digits."""
+    pointed = f"replace(lower({_form(c)}), 'ß', 'ss')"
+    # the second time for digits that two points share
+    for _ in range(2):
+        pointed = f"regexp_replace({pointed}, '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"replace(regexp_replace({pointed}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x{{01}}]', '', 'g'), chr(1), '.')"
+
+
+_PARTS = f"array_to_string(list_sort(list_filter(list_transform(string_split_regex(value, '[,;|/、，；]'), lambda x: {_bare('x')}), lambda x: x <> '')), ',')"
+_P6 = f"""f AS (SELECT id, file_id, {_bare('field')} AS f, field, value FROM accepted_tags WHERE id IS NOT NULL),
+c AS (SELECT DISTINCT id, file_id, f, CASE WHEN f = 'keyword' THEN {_PARTS} ELSE {_bare('value')} END AS v FROM f),
+g AS (SELECT file_id, f, v, min(id) AS first_id, count(*) AS copies FROM c GROUP BY ALL)"""
+P6_FOUND = f"WITH {_P6} SELECT g.first_id, c.id AS copy_id FROM c JOIN g ON c.file_id IS NOT DISTINCT FROM g.file_id AND c.f IS NOT DISTINCT FROM g.f AND c.v IS NOT DISTINCT FROM g.v WHERE c.id <> g.first_id"
+
 # p5: every query against all rows
 P5_NEIGHBOURS = f"""
 WITH {_P5.split(', g AS')[0].split(chr(10) + 'g AS')[0].rstrip(',')},
@@ -66,4 +89,4 @@ k AS (SELECT query, neighbour, d, row_number() OVER (PARTITION BY query ORDER BY
 SELECT query, neighbour, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5
 """
 
-SQL = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_neighbours": P5_NEIGHBOURS, "p7_found": P7_FOUND}
+SQL = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_neighbours": P5_NEIGHBOURS, "p7_found": P7_FOUND, "p6_found": P6_FOUND}
