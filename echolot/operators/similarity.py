@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 
 
 def _log(name: str, by: float) -> Column:
@@ -33,8 +33,11 @@ def segment_vector() -> Column:
     return F.when(F.col("peak").isNotNull() & F.col("rms").isNotNull(), vector)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays, in double."""
+def distance(a: Column, b: Column, parts: int | None = None) -> Column:
+    """Euclidean distance of two arrays, in double; parts: their length, where it is known."""
+    if parts:
+        gaps = [F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double") for i in range(parts)]
+        return F.sqrt(reduce(lambda s, x: s + x * x, gaps, F.lit(0.0)))
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
@@ -64,27 +67,47 @@ def search(items: DataFrame, query: DataFrame, id_col: str, vector_col: str, k:
     return near.select("id", "distance", score(F.col("distance")).alias("score"))
 
 
-def pairs(items: DataFrame, id_col: str, vector_col: str, keys: list[str], threshold: float, group_col: str | None = None) -> DataFrame:
+#: Items that a cell holds before it is split for ``pairs``.
+CROWD = 1_000
+
+
+def pairs(items: DataFrame, id_col: str, vector_col: str, keys: list[str], threshold: float, group_col: str | None = None, parts: int | None = None) -> DataFrame:
     """(left_id, right_id, score) of items of one block whose score reaches threshold, left_id < right_id.
 
-    Items of one group are no pair.  Blocks whose members are many are split by the first
-    vector part: two vectors closer than the threshold's distance differ by no more in any
-    part, so cells of that width and their upper neighbours hold every pair.
+    Items of one group are no pair.  Blocks are split by the first two vector parts: two vectors
+    closer than the threshold's distance differ by no more in any part.  Every item stands in its
+    own cell and is looked for from the cells within that reach, only by items whose second part
+    is not greater, so each pair is met once.  Of a cell with more than CROWD items every chunk
+    meets every other as a key of its own: a hot cell (silence, say) is no single task.
+
+    parts: length of all vectors, where it is known; their distance is then compiled code.
     """
-    reach = 1 / threshold - 1
+    reach = max(1 / threshold - 1, 1e-9) * (1 + 1e-9)  # no pair is lost to rounding
+    width = 2.001 * reach  # so an item is looked for from two cells a part at most
     group = F.col(group_col) if group_col else F.lit(None).cast("long")
+    cell = lambda x: F.floor(x / width)
     base = items.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), group.alias("g"), *keys)
-    width = max(reach, 1e-9)
-    for i in (0, 1):
-        base = base.withColumn(f"c{i}", F.floor(F.get("v", F.lit(i)).cast("double") / width))
-    left = base.toDF("left_id", "lv", "lg", *keys, "c0", "c1")
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    right = base.withColumn("s", F.explode(steps)).withColumn("c0", F.col("c0") + F.col("s.x")).withColumn("c1", F.col("c1") + F.col("s.y")).drop("s").toDF("right_id", "rv", "rg", *keys, "c0", "c1")
-    cond = [left[k].eqNullSafe(right[k]) for k in keys] + [left["c0"] == right["c0"], left["c1"] == right["c1"], left["left_id"] < right["right_id"]]
-    joined = left.join(right, cond)
+    base = base.withColumns({f"x{i}": F.get("v", F.lit(i)).cast("double") for i in (0, 1)})
+    at = F.xxhash64(*keys, "c0", "c1").alias("cell")
+    home = base.withColumns({"c0": cell(F.col("x0")), "c1": cell(F.col("x1"))}).select("*", at)
+    either = lambda x, y: F.explode(F.when(x == y, F.array(x)).otherwise(F.array(x, y)))
+    seen = base.withColumn("c0", either(cell(F.col("x0") - reach), cell(F.col("x0") + reach))).withColumn("c1", either(cell(F.col("x1") - reach), cell(F.col("x1")))).select("*", at)
+    crowded = small(home.groupBy("cell").count().where(F.col("count") > CROWD).select("cell", F.ceil(F.col("count") / CROWD).alias("n")))
+
+    def chunked(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).select("cell", "i", "j", *keys, "c0", "c1", "id", "v", "g")
+
+    names = ["cell", "i", "j", *keys, "c0", "c1"]
+    left = chunked(home, "i", "j").toDF(*names, "a", "lv", "lg")
+    right = chunked(seen, "j", "i").toDF(*names, "b", "rv", "rg")
+    low, high = F.get("lv", F.lit(1)), F.get("rv", F.lit(1))
+    cond = [left[k].eqNullSafe(right[k]) if k in keys else left[k] == right[k] for k in names]
+    cond += [left["a"] != right["b"], (low < high) | ((low.eqNullSafe(high)) & (left["a"] < right["b"]))]
     if group_col:
-        joined = joined.where(~F.col("lg").eqNullSafe(F.col("rg")))
-    return joined.select("left_id", "right_id", score(distance(F.col("lv"), F.col("rv"))).alias("score")).where(F.col("score") >= threshold)
+        cond.append(~left["lg"].eqNullSafe(right["rg"]))
+    found = score(distance(F.col("lv"), F.col("rv"), parts))
+    return left.join(right, cond).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), found.alias("score")).where(F.col("score") >= threshold)
 
 
 def components(edges: DataFrame, left: str = "left_id", right: str = "right_id", max_rounds: int = 60) -> DataFrame:

@@ -1,7 +1,10 @@
 """Catalog operators on literal tables."""
 
+import datetime
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +128,38 @@ def test_blocked_pairs_match_brute_force(spark):
     assert {(r["left_id"], r["right_id"]) for r in similarity.pairs(df, "id", "v", ["k"], 0.8, "g").collect()} == want
 
 
+def test_pairs_of_a_crowded_cell_are_spread(spark, monkeypatch):
+    """Silent items, all alike, are met by many tasks, and every pair comes out once."""
+    monkeypatch.setattr(similarity, "CROWD", 50, raising=False)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as for a large table
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        silent = [(n, n // 2, "x", [0.0, 0.0, 0.0]) for n in range(600)]
+        near = [(1000 + n, n, "x", [0.001 * n, -0.0, 0.002]) for n in range(40)]
+        rows = silent + near + [(5, 2, "x", [0.0, 0.0, 0.0])]
+        df = spark.createDataFrame(rows, "id long, g long, k string, v array<double>")
+        found = similarity.pairs(df, "id", "v", ["k"], 0.99, "g")
+        want = sorted((min(a[0], b[0]), max(a[0], b[0])) for n, a in enumerate(rows) for b in rows[:n] if a[0] != b[0] and a[1] != b[1] and 1 / (1 + math.dist(a[3], b[3])) >= 0.99)
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r["left_id"], r["right_id"]) for r in got) == want
+        assert max(Counter(r["task"] for r in got).values()) < 0.7 * len(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_repeated_segments_count_once(spark, tmp_path):
+    """Rows repeated whole are one row; rows of one id that differ are both met, as SQL has it."""
+    def row(id, file_id, path="p"):
+        return id, file_id, path, 0.5, 0.5, 0.2, 1.0, 0.1, 1000.0, 2000.0, 0.3, datetime.datetime(2020, 1, 1)
+
+    schema = "id long, file_id long, path string, duration_s double, peak double, rms double, crest_factor double, zero_crossing_rate double, spectral_centroid double, spectral_rolloff double, spectral_flatness double, generated_at timestamp_ntz"
+    spark.createDataFrame([row(1, 1), row(1, 1), row(2, 2), row(2, 2, "q"), row(3, 2)], schema).write.parquet(f"{tmp_path}/audio_segments.parquet")
+    assert sorted(tuple(r) for r in QUERIES["similar_segments"](spark, str(tmp_path)).collect()) == [(1, 2, 1.0), (1, 2, 1.0), (1, 3, 1.0)]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "AMB_RAIN_01.wav"), (2, "Rain on roof"), (3, "door"), (4, None)], "id long, t string")
     hit = lambda q: [r["id"] for r in docs.where(search.matches(F.col("t"), q)).orderBy("id").collect()]
