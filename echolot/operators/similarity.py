@@ -33,11 +33,8 @@ def segment_vector() -> Column:
     return F.when(F.col("peak").isNotNull() & F.col("rms").isNotNull(), vector)
 
 
-def distance(a: Column, b: Column, parts: int | None = None) -> Column:
-    """Euclidean distance of two arrays, in double; parts: their length, where it is known."""
-    if parts:
-        gaps = [F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double") for i in range(parts)]
-        return F.sqrt(reduce(lambda s, x: s + x * x, gaps, F.lit(0.0)))
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays, in double."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
@@ -80,14 +77,15 @@ def pairs(items: DataFrame, id_col: str, vector_col: str, keys: list[str], thres
     is not greater, so each pair is met once.  Of a cell with more than CROWD items every chunk
     meets every other as a key of its own: a hot cell (silence, say) is no single task.
 
-    parts: length of all vectors, where it is known; their distance is then compiled code.
+    parts: length of all vectors, where it is known; they are then columns and their distance compiled code.
     """
     reach = max(1 / threshold - 1, 1e-9) * (1 + 1e-9)  # no pair is lost to rounding
     width = 2.001 * reach  # so an item is looked for from two cells a part at most
     group = F.col(group_col) if group_col else F.lit(None).cast("long")
     cell = lambda x: F.floor(x / width)
     base = items.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), group.alias("g"), *keys)
-    base = base.withColumns({f"x{i}": F.get("v", F.lit(i)).cast("double") for i in (0, 1)})
+    base = base.withColumns({f"x{i}": F.get("v", F.lit(i)).cast("double") for i in range(max(2, parts or 0))})
+    sent = [f"x{i}" for i in range(parts)] if parts else ["v", "x1"]
     at = F.xxhash64(*keys, "c0", "c1").alias("cell")
     home = base.withColumns({"c0": cell(F.col("x0")), "c1": cell(F.col("x1"))}).select("*", at)
     either = lambda x, y: F.explode(F.when(x == y, F.array(x)).otherwise(F.array(x, y)))
@@ -96,18 +94,21 @@ def pairs(items: DataFrame, id_col: str, vector_col: str, keys: list[str], thres
 
     def chunked(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.join(crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        return rows.withColumn(own, F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).select("cell", "i", "j", *keys, "c0", "c1", "id", "v", "g")
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).select("cell", "i", "j", *keys, "c0", "c1", "id", "g", *sent)
 
     names = ["cell", "i", "j", *keys, "c0", "c1"]
-    left = chunked(home, "i", "j").toDF(*names, "a", "lv", "lg")
-    right = chunked(seen, "j", "i").toDF(*names, "b", "rv", "rg")
-    low, high = F.get("lv", F.lit(1)), F.get("rv", F.lit(1))
+    left = chunked(home, "i", "j").toDF(*names, "a", "lg", *[f"l{x}" for x in sent])
+    right = chunked(seen, "j", "i").toDF(*names, "b", "rg", *[f"r{x}" for x in sent])
     cond = [left[k].eqNullSafe(right[k]) if k in keys else left[k] == right[k] for k in names]
-    cond += [left["a"] != right["b"], (low < high) | ((low.eqNullSafe(high)) & (left["a"] < right["b"]))]
+    cond += [left["a"] != right["b"], (left["lx1"] < right["rx1"]) | (left["lx1"].eqNullSafe(right["rx1"]) & (left["a"] < right["b"]))]
     if group_col:
         cond.append(~left["lg"].eqNullSafe(right["rg"]))
-    found = score(distance(F.col("lv"), F.col("rv"), parts))
-    return left.join(right, cond).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), found.alias("score")).where(F.col("score") >= threshold)
+    if parts:
+        gaps = [F.col(f"lx{i}") - F.col(f"rx{i}") for i in range(parts)]
+        apart = F.sqrt(reduce(lambda total, x: total + x * x, gaps, F.lit(0.0)))
+    else:
+        apart = distance(F.col("lv"), F.col("rv"))
+    return left.join(right, cond).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), score(apart).alias("score")).where(F.col("score") >= threshold)
 
 
 def components(edges: DataFrame, left: str = "left_id", right: str = "right_id", max_rounds: int = 60) -> DataFrame:
