@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Bundle:
-    """name: of the bundle; fields: columns taken together; trust: greater is better, NULL: unusable."""
+    """name: of the bundle; fields: columns taken together; trust: greater is better, NULL or NaN: unusable."""
 
     name: str
     fields: tuple[str, ...]
@@ -83,6 +83,15 @@ def best_choice(candidates: dict[str, list[tuple]], links: Sequence[tuple[str, i
     return best[2]
 
 
+def linked(names: Sequence[str], links: Sequence[tuple[str, int, str, int]]) -> list[tuple[list[str], list[tuple[str, int, str, int]]]]:
+    """Sets of bundles that links hold together, in the order of names, each with its links."""
+    of = {n: {n} for n in names}
+    for x, _, y, _ in links:
+        both = of[x] | of[y]
+        of |= dict.fromkeys(both, both)
+    return [([n for n in names if n in of[head]], [k for k in links if k[0] in of[head]]) for head in names if head == next(n for n in names if n in of[head])]
+
+
 def surviving_rows(df: DataFrame, group_col: str, id_col: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = ()) -> DataFrame:
     """(group, n_rows, consistent, <bundle>_id for each bundle): the row each bundle is taken from.
 
@@ -93,15 +102,17 @@ def surviving_rows(df: DataFrame, group_col: str, id_col: str, bundles: Sequence
     trusted row (the constraint cannot be met within the group).
 
     Every group is solved by branch and bound over its candidates.  These are what one
-    hash aggregation with map-side combining leaves of a group of any size: of a bundle
-    without dependencies its best row (no other can be in an optimum), of the others the
-    best row for each combination of the values that the dependencies look at (left values
-    replaced by what they determine), which loses no optimum either.
+    aggregation with map-side combining leaves of a group of any size: for bundles without
+    dependencies the rows that are best for one of them, each a candidate for all of them
+    that it is usable for; for the others the best row for each combination of the values
+    that the dependencies look at (left values replaced by what they determine).  Neither
+    loses an optimum.  Bundles that no dependency links are searched apart, so a great trust
+    of one cannot swallow a small difference of another.
     """
     tied = {d.left_bundle for d in dependencies} | {d.right_bundle for d in dependencies}
     # only what is needed, under names of our own: other columns of df cannot clash
     base = df.where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(group_col).alias("_group"), F.col(id_col).alias("_id"), *[b.trust.cast("double").alias(f"_t_{b.name}") for b in bundles],
+        F.col(group_col).alias("_group"), F.col(id_col).alias("_id"), *[F.when(~F.isnan(b.trust.cast("double")), b.trust.cast("double")).alias(f"_t_{b.name}") for b in bundles],
         *[c for n, d in enumerate(dependencies) for c in (F.col(d.left).alias(f"_left{n}"), F.col(d.right).alias(f"_right{n}"))],
     )
     slots: dict[str, list[Column]] = {b.name: [] for b in bundles}
@@ -115,44 +126,51 @@ def surviving_rows(df: DataFrame, group_col: str, id_col: str, bundles: Sequence
         slots[d.left_bundle].append(F.col(f"_fd{n}").cast("string"))
         slots[d.right_bundle].append(F.col(f"_right{n}").cast("string"))
 
+    names = [b.name for b in bundles]
+    free = [b.name for b in bundles if b.name not in tied]
+
     def entry(b: Bundle) -> Column:
-        return F.when(F.col(f"_t_{b.name}").isNotNull(), F.struct(F.col(f"_t_{b.name}").alias("trust"), (-F.col("_id")).alias("neg_id")))
+        rest = [] if b.name in tied else [F.array(*[F.col(f"_t_{n}") for n in free]).alias("trusts")]
+        return F.when(F.col(f"_t_{b.name}").isNotNull(), F.struct(F.col(f"_t_{b.name}").alias("trust"), (-F.col("_id")).alias("neg_id"), *rest))
 
     base = base.select(
         "_group", "_id", *[entry(b).alias(f"_e_{b.name}") for b in bundles], *[F.array(*slots[b.name]).alias(f"_s_{b.name}") for b in bundles if b.name in tied]
     )
-    names = [b.name for b in bundles]
-    free = [b.name for b in bundles if b.name not in tied]
     groups = base.groupBy("_group").agg(F.count("*").alias("n_rows"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), *[F.max(f"_e_{n}").alias(f"_e_{n}") for n in free]).where("_lo < _hi")
-    free_ids = {n: (-F.col(f"_e_{n}.neg_id")).cast("long").alias(f"{n}_id") for n in free}
-    if not tied:
-        return groups.select(F.col("_group").alias(group_col), "n_rows", F.lit(True).alias("consistent"), *[free_ids[n] for n in names])
+    nothing = F.lit(None).cast("array<string>")
+    groups = groups.withColumns({"_free": F.array_compact(F.array(*[F.col(f"_e_{n}") for n in free])) if free else nothing, "_tied": nothing})
     # candidates of the tied bundles: the best row per combination of slots
-    entries = [F.struct(F.lit(n).alias("bundle"), F.col(f"_s_{n}").alias("slots"), F.col(f"_e_{n}").alias("best")) for n in names if n in tied]
-    stacked = base.select("_group", F.explode(F.array(*entries)).alias("c")).where("c.best IS NOT NULL")
-    reduced = stacked.groupBy("_group", "c.bundle", "c.slots").agg(F.max("c.best").alias("best"))
-    gathered = reduced.groupBy("_group").agg(F.collect_list(F.struct("bundle", "slots", "best")).alias("_tied"))
-    groups = groups.join(gathered, "_group", "left")
-    searched = [n for n in names if n in tied]
-
-    @F.pandas_udf(T.StructType([*[T.StructField(f"{n}_id", T.LongType()) for n in searched], T.StructField("consistent", T.BooleanType())]))
-    def choose(groups_: pd.Series) -> pd.DataFrame:
+    if tied:
+        entries = [F.struct(F.lit(n).alias("bundle"), F.col(f"_s_{n}").alias("slots"), F.col(f"_e_{n}").alias("best")) for n in names if n in tied]
+        stacked = base.select("_group", F.explode(F.array(*entries)).alias("c")).where("c.best IS NOT NULL")
+        reduced = stacked.groupBy("_group", "c.bundle", "c.slots").agg(F.max("c.best").alias("best"))
+        gathered = reduced.groupBy("_group").agg(F.collect_list(F.struct("bundle", "slots", "best")).alias("_tied"))
+        groups = groups.drop("_tied").join(gathered, "_group", "left")
+    parts = linked(names, links)
+
+    @F.pandas_udf(T.StructType([*[T.StructField(f"{n}_id", T.LongType()) for n in names], T.StructField("consistent", T.BooleanType())]))
+    def choose(free_: pd.Series, tied_: pd.Series) -> pd.DataFrame:
         rows = []
-        for group in groups_:
+        for free_rows, tied_rows in zip(free_, tied_):
             by: dict[str, list[tuple]] = {}
-            for c in group if group is not None else ():
+            for c in free_rows if free_rows is not None else ():
+                for n, trust in zip(free, c["trusts"]):
+                    if trust is not None and trust == trust:  # NULL comes as NaN
+                        by.setdefault(n, []).append((trust, -c["neg_id"], ()))
+            for c in tied_rows if tied_rows is not None else ():
                 by.setdefault(c["bundle"], []).append((c["best"]["trust"], -c["best"]["neg_id"], tuple(c["slots"])))
-            by = {n: sorted(by[n], key=lambda x: (-x[0], x[1])) for n in searched if n in by}
-            found = best_choice(by, links)
-            chosen = found or {n: v[0] for n, v in by.items()}
-            rows.append({**{f"{n}_id": chosen[n][1] if n in chosen else None for n in searched}, "consistent": found is not None})
-        out = pd.DataFrame(rows, columns=[*[f"{n}_id" for n in searched], "consistent"])
-        return out.astype({**{f"{n}_id": "Int64" for n in searched}, "consistent": "bool"})
-
-    # no usable row of a tied bundle: nothing to search
-    chosen = groups.withColumn("p", choose("_tied"))
-    ids = [free_ids[n] if n in free_ids else F.col(f"p.{n}_id") for n in names]
-    return chosen.select(F.col("_group").alias(group_col), "n_rows", "p.consistent", *ids)
+            row: dict = {"consistent": True}
+            for part, of_part in parts:
+                cands = {n: sorted(by[n], key=lambda x: (-x[0], x[1])) for n in part if n in by}
+                found = best_choice(cands, of_part)
+                row["consistent"] &= found is not None
+                row |= {f"{n}_id": c[1] for n, c in (found or {n: v[0] for n, v in cands.items()}).items()}
+            rows.append(row)
+        out = pd.DataFrame(rows, columns=[*[f"{n}_id" for n in names], "consistent"])
+        return out.astype({**{f"{n}_id": "Int64" for n in names}, "consistent": "bool"})
+
+    chosen = groups.withColumn("p", choose("_free", "_tied"))
+    return chosen.select(F.col("_group").alias(group_col), "n_rows", "p.consistent", *[f"p.{n}_id" for n in names])
 
 
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"

@@ -49,6 +49,22 @@ def test_independent_bundles(spark):
     assert survivor.surviving_rows(df.limit(0), "g", "id", _bundles()).count() == 0
 
 
+def test_independent_bundles_are_searched(spark):
+    """Without dependencies, too, the rows come from the search over candidates; each bundle by its own trust."""
+    rng = random.Random(3)
+    rows = [(i, i % 40, rng.choice([None, 1e17, 1e17 + 32]), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(400)] + [(900, 50, None, None), (901, 50, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, g long, a double, b double").withColumns({"ext": F.lit("x"), "kind": F.lit("y")})
+    found = survivor.surviving_rows(df, "g", "id", _bundles())
+    best = lambda g, k: min(((-r[k], r[0]) for r in rows if r[1] == g and r[k] is not None), default=(0, None))[1]
+    assert {tuple(r) for r in found.select("g", "consistent", "a_id", "b_id").collect()} == {(g, True, best(g, 2), best(g, 3)) for g in [*range(40), 50]}
+    assert "choose(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linked_bundles():
+    links = [("a", 0, "c", 0), ("e", 0, "c", 1)]
+    assert survivor.linked(list("abcde"), links) == [(["a", "c", "e"], links), (["b"], []), (["d"], [])]
+
+
 def test_dependencies_hold(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     # over all rows wav goes with pcm and mp3 with lossy
